@@ -67,7 +67,7 @@ def _power(n: int, base) -> np.ndarray:
 
 def piece_hash(piece: str) -> int:
     c = np.array([ord(x) for x in piece], np.uint64)
-    return int(mix((mix(c) * _power(len(c), STEP)).sum(keepdims=True) + np.uint64(len(c)) * PLACE[3])[0])
+    return int(mix((mix(c) * _power(len(c), STEP)).sum(keepdims=True) + np.array([len(c)], np.uint64) * PLACE[3])[0])
 
 
 def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabular
         if not len(p):
             break
         a = at[p]
-        h = mix((total[a + length] - total[a]) * inverse[a] + np.uint64(length) * PLACE[3])
+        h = mix((total[a + length] - total[a]) * inverse[a] + np.array([length], np.uint64) * PLACE[3])
         ok = v.hit[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
         p, h = p[ok], h[ok]
         j = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
@@ -158,14 +158,14 @@ def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabular
     rank_of[node_of] = np.arange(len(node_of))
     row = np.searchsorted(by_row, start, side="right") - 1
     nth = np.arange(len(start)) - np.searchsorted(start, by_row[:-1])[row]
-    base = mix(keys[row] + np.uint64(seed) * PLACE[5]) + nth.astype(np.uint64) * PLACE[6]
+    base = mix(keys[row] + np.array([seed], np.uint64) * PLACE[5]) + nth.astype(np.uint64) * PLACE[6]
     live, now = np.arange(len(start)), head[kind + 1] - 1
     floor = head[kind]
     steps = np.zeros(len(start), np.int64)
     taken = []
     step = 0
     while len(live):
-        u = (mix(mix(base[live]) + np.uint64(step) * PLACE[7]) >> np.uint64(12)).astype(np.float64) * 2.0**-52
+        u = (mix(mix(base[live]) + np.array([step], np.uint64) * PLACE[7]) >> np.uint64(12)).astype(np.float64) * 2.0**-52
         r = rank_of[now]
         edge = np.minimum(np.searchsorted(up, r + u, side="right"), last[r])
         taken.append((live, edge))
