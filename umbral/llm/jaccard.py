@@ -130,8 +130,7 @@ PRODUCT = "kind int, a1 long, a2 long, na long, b1 long, b2 long, nb long, share
 def _product(num: int, den: int, wide: int):
     """The block's piece of the incidence times its transpose.
 
-    Kind 0: pairs and how many of the block's columns they share; 1: pairs from wide columns, to be intersected
-    whatever their count; 2: entries of wide columns.
+    Kind 0: pairs and how many of the block's columns they share; 1: pairs next to each other in wide columns; 2: entries of wide columns.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -210,7 +209,7 @@ def _across(num: int, den: int):
             comp = pd.factorize(g["label"])[0]
             if comp.max(initial=0) == 0:
                 continue
-            n, place, ids = g["na"].to_numpy(), g["place"].to_numpy(), g[["a1", "a2"]].to_numpy()
+            n, place, ids = g["na"].to_numpy(), g["place"].to_numpy(), g[["a1", "a2", "na"]].to_numpy()
             largest = np.bincount(comp).argmax()
             for i in np.flatnonzero(comp != largest):
                 least = _needed(num, num + den, n + n[i])
@@ -219,11 +218,11 @@ def _across(num: int, den: int):
                 ok &= (comp == largest) | (np.arange(len(n)) > i)
                 j = np.flatnonzero(ok)
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
-        x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
-        x[swap] = x[swap][:, [2, 3, 0, 1]]
+        x = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+        swap = (x[:, 0] > x[:, 3]) | ((x[:, 0] == x[:, 3]) & (x[:, 1] > x[:, 4]))
+        x[swap] = x[swap][:, [3, 4, 5, 0, 1, 2]]
         x = np.unique(x, axis=0)
-        return pa.table({c: pa.array(x[:, i], pa.int64()) for i, c in enumerate(("a1", "a2", "b1", "b2"))})
+        return pa.table({c: pa.array(x[:, i], pa.int64()) for i, c in enumerate(("a1", "a2", "na", "b1", "b2", "nb"))})
 
     return run
 
@@ -265,13 +264,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pair = ["a1", "a2", "b1", "b2"]
     entries = product.where("kind = 2").select("col", "a1", "a2", "na", "place")
-    spread = entries.select("a1", "a2").distinct()
-    in_a, in_b = spread.select("a1", "a2", F.lit(True).alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.lit(True).alias("wide_b"))
-    counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind"))
+    spread = entries.groupBy("a1", "a2").agg(F.count("*").alias("wide"))
+    in_a, in_b = spread.select("a1", "a2", F.col("wide").alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("wide").alias("wide_b"))
+    # overlaps in narrow columns are counted in full; those in wide ones are at most the entries that either set has there
+    counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
+    counted = cut(counted, "counted")
     least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
-    counted = counted.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
-    pairs = cut(counted.where((F.col("shared") + rest >= least) | (F.col("kind") == 1) | (F.col("wide_a") & F.col("wide_b"))).select(*pair), "pairs")
+    wide_both = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose overlap can still be large enough."""
+        pairs = pairs.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
+        return pairs.where(F.col("shared") + wide_both + rest >= least).select(*pair)
+
+    pairs = cut(possible(counted), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
@@ -282,12 +289,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some = rows.join(ids, "id", "left_semi")
         nameless = wanted.join(classes, ["c1", "c2"]).where("rep is null").limit(1).count()
         some = some.unionByName(rows.where("id is null")) if nameless else some
-        sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, grams array<long>").groupBy("c1", "c2").agg(F.first("grams").alias("grams")), "grams")
+        sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, grams array<long>"), "grams")
         a = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("grams").alias("x"))
         b = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("grams").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         # both >= num/den of the union, as (num + den) * both >= num * (sizes)
         ok = (num + den) * both >= num * (F.size("x") + F.size("y"))
+        # rows that repeat an id bring a set twice, and then a link
         return pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(*pair)
 
     def named(links: DataFrame) -> DataFrame:
@@ -301,8 +309,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
-        more = held.select("part", "col", "a1", "a2", "na", "place", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, b1 long, b2 long").distinct()
-        more = cut(more.join(pairs, pair, "left_anti"), "pairs")
+        more = held.select("part", "col", "a1", "a2", "na", "place", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, na long, b1 long, b2 long, nb long").distinct()
+        more = more.join(pairs, pair, "left_anti").join(counted.select(*pair, "shared"), pair, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+        more = cut(possible(more), "pairs")
         if not more.isEmpty():
             extra = cut(named(linked(more)), "links")
             if not extra.isEmpty():
