@@ -26,8 +26,12 @@ from .components import components
 TABLE = 1 << 22
 
 
-def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int, rows: int = 500) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text; with fewer words, of the whole sequence."""
+    return [s for i in range(0, len(column), rows) for s in _some_sets(column[i : i + rows], k)]
+
+
+def _some_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     words, by_row = word_hashes(column)
     n = max(0, len(words) - k + 1)
     rolled = np.zeros(n, np.uint64)
@@ -59,7 +63,7 @@ def _needed(num: int, den: int, n):
 
 def _describe(k: int):
     def run(batches):
-        counts, seen = np.zeros(TABLE, np.int64), set()
+        counts, seen = np.zeros(TABLE, np.uint32), set()
         total = 0
         for b in batches:
             sets = shingle_sets(b.column(1), k)
@@ -69,10 +73,10 @@ def _describe(k: int):
                 if g not in seen and len(s):
                     seen.add(g)
                     fresh.append(s)
-            if fresh:
-                joined = np.concatenate(fresh)
-                total += len(joined)
-                counts += np.bincount((joined & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE)
+            for i in range(0, len(fresh), 1000):
+                slots, n = np.unique(np.concatenate(fresh[i : i + 1000]) & np.uint64(TABLE - 1), return_counts=True)
+                counts[slots.astype(np.int64)] += n.astype(np.uint32)
+                total += int(n.sum())
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in signs], pa.int64()), pa.array([g[1] for g in signs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "n", "c1", "c2", "slot", "df"]
@@ -80,7 +84,7 @@ def _describe(k: int):
         mean = total / TABLE
         hot = np.flatnonzero(counts >= max(8, mean + 8 * mean**0.5))
         n = len(hot)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array(hot, pa.int64()), pa.array(counts[hot], pa.int64())], names=["id", "n", "c1", "c2", "slot", "df"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array(hot, pa.int64()), pa.array(counts[hot].astype(np.int64))], names=["id", "n", "c1", "c2", "slot", "df"])
 
     return run
 
@@ -238,7 +242,7 @@ def _sets(k: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, wide: int = 32, block_entries: int = 2_000_000, broadcast_ids: int = 1 << 20) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, wide: int = 32, block_entries: int = 1_000_000, broadcast_ids: int = 1 << 20) -> DataFrame:
     """Links texts whose sets of k-word shingles have a Jaccard similarity of num/den or more.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a text of fewer words than k is one shingle; a text without
