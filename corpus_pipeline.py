@@ -53,9 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations, and the SHA-256 of the text decoded from them."""
-    encoded = pieces.sentencepiece_encode(docs.select(*COLUMNS), PIECE_MODEL)
-    decoded = pieces.sentencepiece_decode(encoded, PIECE_MODEL)
-    return decoded.select("doc_id", "ids", "n_pieces", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return pieces.sentencepiece_encode(docs.select(*COLUMNS), PIECE_MODEL, proof=True)
 
 
 STAGES = [("language ID", language_id), ("near duplicates", near_duplicates), ("mixing", mix), ("SentencePiece", sentencepiece)]

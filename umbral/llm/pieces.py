@@ -9,6 +9,8 @@ the part's place and the step: the same whatever the partitions.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -213,11 +215,12 @@ def decode_ids(ids: list[int], raw: list[bytes]) -> str:
     return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-def _encode(vocabulary, seed: int, chars: int):
+def _encode(vocabulary, seed: int, chars: int, proof: bool):
     def run(batches):
         v = vocabulary.value
         for b in batches:
-            texts, keys = [t or "" for t in b.column(2).to_pylist()], b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            column, keys = b.column(2), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            texts = [t or "" for t in column.to_pylist()]
             a = 0
             while a < len(texts):
                 z, size = a, 0
@@ -225,23 +228,28 @@ def _encode(vocabulary, seed: int, chars: int):
                     size += len(texts[z])
                     z += 1
                 ids, by_row = sample(*code_points(texts[a:z]), keys[a:z], v, seed)
-                yield pa.RecordBatch.from_arrays([b.column(0)[a:z], pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(np.diff(by_row))], names=["id", "ids", "n_pieces"])
+                cols = [b.column(0)[a:z], pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(np.diff(by_row))]
+                if proof:
+                    back = [decode_ids(ids[by_row[i] : by_row[i + 1]].tolist(), v.raw).encode("utf-8", "surrogatepass") for i in range(z - a)]
+                    cols += [pa.array([len(x) for x in back], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "n_pieces", "text_bytes", "text_sha256"][: len(cols)])
                 a = z
 
     return run
 
 
-def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0, chars: int = 2_000_000) -> DataFrame:
+def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0, proof: bool = False, chars: int = 1_000_000) -> DataFrame:
     """A sampled segmentation of each whole text: id, ids (piece ids), n_pieces.
 
     Segmentations are drawn with the product of their pieces' weights, to the power alpha, from the row's id and seed:
     rows with one id and one text get one segmentation. Null and empty texts have no pieces. Texts keep every
     character: what the model lacks becomes byte pieces. Rows may repeat ids or have none (null is a key as any other);
-    other columns are ignored. model: path of a SentencePiece model with byte pieces, read on the driver.
+    other columns are ignored. With proof, the pieces are decoded again on the spot, and text_bytes and text_sha256 are of
+    what they give. model: path of a SentencePiece model with byte pieces, read on the driver.
     """
     v = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, alpha))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode(v, seed, chars), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_pieces long")
+    out = rows.mapInArrow(_encode(v, seed, chars, proof), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_pieces long" + ", text_bytes long, text_sha256 string" * proof)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -253,9 +261,9 @@ def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", o
     def run(batches):
         for b in batches:
             column = b.column(at)
-            flat, cuts = column.values.to_pylist(), column.offsets.to_pylist()
+            flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
             null = column.is_null().to_pylist()
-            texts = [None if null[i] else decode_ids(flat[cuts[i] : cuts[i + 1]], raw.value) for i in range(len(column))]
+            texts = [None if null[i] else decode_ids(flat[cuts[i] : cuts[i + 1]].tolist(), raw.value) for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
     from pyspark.sql.types import StringType, StructField, StructType

@@ -54,9 +54,7 @@ def op7_media_columns(spark, sf_dir):
 
 def op8_sentencepiece(spark, sf_dir):
     """ids and n_pieces of each text; text_bytes and text_sha256 are of the text decoded from the ids again."""
-    encoded = pieces.sentencepiece_encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
-    decoded = pieces.sentencepiece_decode(encoded, PIECE_MODEL)
-    return decoded.select("doc_id", "ids", "n_pieces", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return pieces.sentencepiece_encode(_table(spark, sf_dir, "documents"), PIECE_MODEL, proof=True)
 
 
 def op9_language_id(spark, sf_dir):
