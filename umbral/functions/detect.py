@@ -117,6 +117,10 @@ def hit(c: Column, kind: str, pattern: str) -> Column:
     return ok & valid_cpf(c) if kind == "cpf" else ok & valid_cnpj(c) if kind == "cnpj" else ok
 
 
+def _element_hit(kind: str, pattern: str):
+    return lambda x: F.coalesce(hit(x, kind, pattern), F.lit(False))
+
+
 def ratios(df: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """One row per text leaf: column, n (non-null), unique and the share of values that match each pattern; one job."""
     patterns = PATTERNS if patterns is None else patterns
@@ -127,8 +131,9 @@ def ratios(df: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
             shares = [F.avg(hit(c, p, r).cast("double")).alias(p) for p, r in patterns.items()]
             unique = F.approx_count_distinct(c, 0.02)
         elif isinstance(kind, T.ArrayType):
-            n = F.sum(F.size(F.filter(F.coalesce(c, F.array()), lambda x: x.isNotNull())))
-            shares = [(F.sum(F.size(F.filter(F.coalesce(c, F.array()), lambda x, p=p, r=r: F.coalesce(hit(x, p, r), F.lit(False))))) / F.nullif(n, F.lit(0))).alias(p) for p, r in patterns.items()]
+            items = F.coalesce(c, F.array().cast("array<string>"))
+            n = F.sum(F.size(F.filter(items, lambda x: x.isNotNull())))
+            shares = [(F.sum(F.size(F.filter(items, _element_hit(p, r)))) / F.nullif(n, F.lit(0))).alias(p) for p, r in patterns.items()]
             unique = F.lit(0)
         else:
             continue

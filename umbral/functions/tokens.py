@@ -163,11 +163,13 @@ def perturb_number(c: Column, low: float, high: float, std: float, seed: int, sh
     return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
-def _digit(d: Column, weights: list[int]) -> Column:
-    """Check digit: 11 less the weighted sum modulo 11, 0 for 10 and 11."""
-    total = sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, F.lit(0)).otherwise(11 - rest).cast("string")
+def _weighted(d: Column, weights: list[int]) -> Column:
+    return sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+
+
+def _digit(total: Column) -> Column:
+    """11 less the weighted sum modulo 11, 0 for 10 and 11."""
+    return (total * 10 % 11) % 10
 
 
 CPF_WEIGHTS = list(range(10, 1, -1)), list(range(11, 1, -1))
@@ -175,8 +177,9 @@ CNPJ_WEIGHTS = [*range(5, 1, -1), *range(9, 1, -1)], [*range(6, 1, -1), *range(9
 
 
 def with_check_digits(base: Column, weights) -> Column:
-    one = F.concat(base, _digit(base, weights[0]))
-    return F.concat(one, _digit(one, weights[1]))
+    first = _digit(_weighted(base, weights[0]))
+    second = _digit(_weighted(base, weights[1][:-1]) + first * weights[1][-1])
+    return F.concat(base, first.cast("string"), second.cast("string"))
 
 
 def _valid(c: Column, n: int, weights) -> Column:

@@ -16,7 +16,8 @@ def source(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, fi
     schema = schema or spark.read.format(fmt).load(path).schema
     r = spark.readStream.format(fmt).schema(schema)
     r = r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r
-    return r.load(path)
+    # a pattern for one name: a stream of a single file needs one
+    return r.load(path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]")
 
 
 def mask_stream(df: DataFrame, reports: dict, salt: str, seed: int = 42) -> DataFrame:
@@ -60,11 +61,19 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], aggs: list, late
     return _windowed(df, F.session_window(ts, gap), ts, keys, aggs, late)
 
 
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need timestamps with a zone; those without count as the session's."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
+
+
 def _windowed(df, window, ts, keys, aggs, late) -> DataFrame:
+    plain = dict(df.dtypes)[ts] == "timestamp_ntz"
+    df = _event_time(df, ts)
     df = df.withWatermark(ts, late) if df.isStreaming else df
     out = df.groupBy(window.alias("w"), *keys).agg(*aggs)
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
+    kind = "timestamp_ntz" if plain else "timestamp"
+    return out.select(F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"), *[c for c in out.columns if c != "w"])
 
 
 def dedup(df: DataFrame, ts: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _event_time(df, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
