@@ -204,7 +204,10 @@ def _product(num: int, den: int, wide: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of one wide column whose classes are still in different components."""
+    """Pairs of one wide column whose classes are still in different components.
+
+    Pairs that share a narrow column were judged before; the others overlap at most in the wide columns that either
+    has, and beyond the kept columns."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pandas()
@@ -213,20 +216,22 @@ def _across(num: int, den: int):
             comp = pd.factorize(g["label"])[0]
             if comp.max(initial=0) == 0:
                 continue
-            n, place, ids = g["na"].to_numpy(), g["place"].to_numpy(), g[["a1", "a2", "na"]].to_numpy()
+            n, place, wide, ids = g["na"].to_numpy(), g["place"].to_numpy(), g["wide"].to_numpy(), g[["a1", "a2"]].to_numpy()
+            rest = _needed(num, den, n) - 1
             largest = np.bincount(comp).argmax()
             for i in np.flatnonzero(comp != largest):
                 least = _needed(num, num + den, n + n[i])
                 most = np.minimum(place, place[i]) + 1 + np.minimum(n - place - 1, n[i] - place[i] - 1)
+                most = np.minimum(most, np.minimum(wide, wide[i]) + np.maximum(rest, rest[i]))
                 ok = (comp != comp[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i])) & (most >= least)
                 ok &= (comp == largest) | (np.arange(len(n)) > i)
                 j = np.flatnonzero(ok)
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
-        x = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
-        swap = (x[:, 0] > x[:, 3]) | ((x[:, 0] == x[:, 3]) & (x[:, 1] > x[:, 4]))
-        x[swap] = x[swap][:, [3, 4, 5, 0, 1, 2]]
+        x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
+        x[swap] = x[swap][:, [2, 3, 0, 1]]
         x = np.unique(x, axis=0)
-        return pa.table({c: pa.array(x[:, i], pa.int64()) for i, c in enumerate(("a1", "a2", "na", "b1", "b2", "nb"))})
+        return pa.table({c: pa.array(x[:, i], pa.int64()) for i, c in enumerate(("a1", "a2", "b1", "b2"))})
 
     return run
 
@@ -272,17 +277,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in_a, in_b = spread.select("a1", "a2", F.col("wide").alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("wide").alias("wide_b"))
     # overlaps in narrow columns are counted in full; those in wide ones are at most the entries that either set has there
     counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
-    counted = cut(counted, "counted")
     least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
     wide_both = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose overlap can still be large enough."""
-        pairs = pairs.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
-        return pairs.where(F.col("shared") + wide_both + rest >= least).select(*pair)
-
-    pairs = cut(possible(counted), "pairs")
+    counted = counted.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
+    pairs = cut(counted.where(F.col("shared") + wide_both + rest >= least).select(*pair), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
@@ -309,13 +308,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     if not entries.isEmpty():
         name = F.concat(F.hex("a1"), F.lit("."), F.hex("a2"))
-        held = entries.withColumn("node", name).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = entries.join(spread, ["a1", "a2"]).withColumn("node", name).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
-        more = held.select("part", "col", "a1", "a2", "na", "place", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, na long, b1 long, b2 long, nb long").distinct()
-        more = more.join(pairs, pair, "left_anti").join(counted.select(*pair, "shared"), pair, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-        more = cut(possible(more), "pairs")
+        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, b1 long, b2 long").distinct()
+        more = cut(more.join(pairs, pair, "left_anti"), "pairs")
         if not more.isEmpty():
             extra = cut(named(linked(more)), "links")
             if not extra.isEmpty():

@@ -22,6 +22,13 @@ END = np.uint64(0x5EEDED0C5EEDED0C)
 PROBES = 3
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in smaller ones, which bounds the arrays made of each."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and, after each text, of one end; offsets by row."""
     words, by_row = word_hashes(column)
@@ -80,7 +87,7 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 def _count(blocks: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 4000):
             b = b.filter(pc.invert(b.column(1)))
             if not b.num_rows:
                 continue
@@ -135,7 +142,7 @@ def _score(model, head, weight: float):
         grams, counts = head.value
         f, total = Filter(data, blocks, region), n_tokens + n_types + 1.0
         done = 0
-        for b in batches:
+        for b in slices(batches):
             t, by_row = tokens(b.column(2))
             rows = np.repeat(np.arange(b.num_rows), np.diff(by_row))
             types, inverse = np.unique(t, return_inverse=True)
@@ -164,7 +171,7 @@ def _score(model, head, weight: float):
     return run
 
 
-def bloom_lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = 2, weight: float = 0.6, max_bits: int = 1 << 28, head: int = 1 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def bloom_lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = 2, weight: float = 0.6, max_bits: int = 1 << 28, head: int = 1 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Scores whole texts by a bigram model of the rows that the condition held_out doesn't pick.
 
     Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end; null texts are empty. Smoothing: the bigram's
