@@ -213,7 +213,10 @@ def generate_keypair(spark: SparkSession, size: int = 2048) -> tuple[str, str]:
     g.initialize(size)
     pair = g.generateKeyPair()
     pem = lambda raw, name: f"-----BEGIN {name}-----\n" + base64.encodebytes(bytes(raw)).decode() + f"-----END {name}-----\n"
-    return pem(pair.getPrivate().getEncoded(), "PRIVATE KEY"), pem(pair.getPublic().getEncoded(), "PUBLIC KEY")
+    # the keys' own classes are closed to reflection; their specifications aren't
+    factory, named = spark._jvm.java.security.KeyFactory.getInstance("RSA"), spark._jvm.java.lang.Class.forName
+    private = factory.getKeySpec(pair.getPrivate(), named("java.security.spec.PKCS8EncodedKeySpec")).getEncoded()
+    return pem(private, "PRIVATE KEY"), pem(factory.getKeySpec(pair.getPublic(), named("java.security.spec.X509EncodedKeySpec")).getEncoded(), "PUBLIC KEY")
 
 
 def _unpem(text: str) -> bytearray:
