@@ -218,8 +218,7 @@ add("scan_nested", lambda t: reports(t.spark, detect.scan(people(t).select(F.str
 add("scan_sensitive", lambda t: t.spark.createDataFrame([(x["column"], x["category"]) for x in detect.scan_sensitive(t.customer.select(F.col("c_mktsegment").alias("religiao"), F.lit("A01").alias("code_x"), F.col("c_custkey").alias("dna")))], "column string, category string"), "SELECT * FROM (VALUES ('religiao', 'convicção_religiosa'), ('code_x', 'saude_vida_sexual'), ('dna', 'dado_genetico_biometrico')) v(\"column\", category)")
 digit = lambda base, w, n: f"CASE WHEN (list_sum(list_transform(range(0, {n}), lambda i: CAST(substring({base}, CAST(i + 1 AS INTEGER), 1) AS INTEGER) * {w}[i + 1]))) % 11 < 2 THEN '0' ELSE CAST(11 - (list_sum(list_transform(range(0, {n}), lambda i: CAST(substring({base}, CAST(i + 1 AS INTEGER), 1) AS INTEGER) * {w}[i + 1]))) % 11 AS VARCHAR) END"
 for name, n, w, f in (("cpf", 9, K.CPF_WEIGHTS, K.valid_cpf), ("cnpj", 12, K.CNPJ_WEIGHTS, K.valid_cnpj)):
-    base = F.lpad((F.col("c_custkey") * 7919 + 123).cast("string"), n, "1")
-    add(f"{name}_check", lambda t, base=base, w=w, f=f: t.customer.select("c_custkey", K.with_check_digits(base, w).alias("id")).withColumn("ok", f(F.col("id"))).withColumn("bad", f(F.concat(F.col("id"), F.lit("0")))), f"WITH b AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 + 123 AS VARCHAR), {n}, '1') AS b FROM customer), o AS (SELECT c_custkey, b || {digit('b', w[0], n)} AS o FROM b) SELECT c_custkey, o || {digit('o', w[1], n + 1)} AS id, true AS ok, false AS bad FROM o")
+    add(f"{name}_check", lambda t, n=n, w=w, f=f: t.customer.select("c_custkey", K.with_check_digits(F.lpad((F.col("c_custkey") * 7919 + 123).cast("string"), n, "1"), w).alias("id")).withColumn("ok", f(F.col("id"))).withColumn("bad", f(F.concat(F.col("id"), F.lit("0")))), f"WITH b AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 + 123 AS VARCHAR), {n}, '1') AS b FROM customer), o AS (SELECT c_custkey, b || {digit('b', w[0], n)} AS o FROM b) SELECT c_custkey, o || {digit('o', w[1], n + 1)} AS id, true AS ok, false AS bad FROM o")
 
 # -- masks
 cust = lambda t, **k: people(t).select("c_custkey", *[v.alias(n) for n, v in k.items()])
@@ -377,9 +376,9 @@ def _complete(t: Tables, make) -> DataFrame:
     return t.spark.read.parquet(f"{top}/out")
 
 
-sums = [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")]
+sums = lambda: [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")]
 add("stream_mask", lambda t: _stream(t, lambda s: s.select("event_id", K.token(F.col("user_id"), SALT).alias("user"))), f"SELECT event_id, {_duck_hmac('CAST(user_id AS VARCHAR)')} AS \"user\" FROM events")
-add("stream_tumbling", lambda t: _complete(t, lambda s: stream.tumbling(s, "ts", "1 hour", ["event_type"], sums)), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
-add("stream_sliding", lambda t: _complete(t, lambda s: stream.sliding(s, "ts", "2 hours", "1 hour", ["event_type"], sums)), "SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w, * FROM events) GROUP BY 1, 2, 3")
-add("stream_session", lambda t: _complete(t, lambda s: stream.sessions(s, "ts", "30 minutes", ["user_id"], sums)), "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
+add("stream_tumbling", lambda t: _complete(t, lambda s: stream.tumbling(s, "ts", "1 hour", ["event_type"], sums())), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
+add("stream_sliding", lambda t: _complete(t, lambda s: stream.sliding(s, "ts", "2 hours", "1 hour", ["event_type"], sums())), "SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w, * FROM events) GROUP BY 1, 2, 3")
+add("stream_session", lambda t: _complete(t, lambda s: stream.sessions(s, "ts", "30 minutes", ["user_id"], sums())), "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
 add("stream_dedup", lambda t: _stream(t, lambda s: stream.dedup(s, "ts", ["event_id"]).select("event_id")), "SELECT DISTINCT event_id FROM events")
