@@ -6,7 +6,8 @@
    share one of those.
 3. Each block multiplies its piece of the incidence by its transpose, counting overlaps of pairs; summed over blocks,
    a pair whose count can't reach ceil(t/(1+t) (n_a + n_b)) any more is discarded.
-4. Whole sets of the remaining pairs are intersected exactly.
+4. Of the remaining pairs, counts of members by part of the hashes bound the overlap; whole sets of those still in
+   reach are intersected exactly.
 A column shared by over `wide` classes is first linked along its members sorted by size and to its first member; what
 this leaves in different components is multiplied in full after that, so no link between components is lost.
 """
@@ -24,6 +25,8 @@ from .components import components
 
 #: Entries of the table of frequent hashes: 4 MB as broadcast, whatever the input.
 TABLE = 1 << 22
+#: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
+PARTS = 256
 
 
 def shingle_sets(column: pa.Array, k: int, rows: int = 500) -> list[np.ndarray]:
@@ -237,12 +240,30 @@ def _across(num: int, den: int):
 
 
 def _sets(k: int):
+    """Whole sets, and how many of their members fall into each of PARTS parts of the hashes."""
+
     def run(batches):
+        seen = set()
         for b in batches:
-            sets = shingle_sets(b.column(1), k)
-            signs = [signature(s) for s in sets]
+            found = [(signature(s), s) for s in shingle_sets(b.column(1), k)]
+            found = [found[i] for i in {g: i for i, (g, _) in enumerate(found) if g not in seen}.values()]
+            seen.update(g for g, _ in found)
+            sets = [s for _, s in found]
+            counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype("<u4").tobytes() for s in sets]
             arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in signs], pa.int64()), pa.array([g[1] for g in signs], pa.int64()), arrays], names=["c1", "c2", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g, _ in found], pa.int64()), pa.array([g[1] for g, _ in found], pa.int64()), pa.array(counts, pa.binary()), arrays], names=["c1", "c2", "counts", "grams"])
+
+    return run
+
+
+def _within_reach(num: int, den: int):
+    """Pairs a1, a2, b1, b2 whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
+            ok = (num + den) * np.minimum(x, y).sum(1) >= num * (x.sum(1) + y.sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a1", "a2", "b1", "b2")], names=["a1", "a2", "b1", "b2"]).filter(pa.array(ok))
 
     return run
 
@@ -292,14 +313,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some = rows.join(ids, "id", "left_semi")
         nameless = wanted.join(classes, ["c1", "c2"]).where("rep is null").limit(1).count()
         some = some.unionByName(rows.where("id is null")) if nameless else some
-        sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, grams array<long>"), "grams")
-        a = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("grams").alias("x"))
-        b = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("grams").alias("y"))
+        sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, counts binary, grams array<long>"), "grams")
+
+        def sides(what: str, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+            return of.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col(what).alias("x")), of.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col(what).alias("y"))
+
+        a, b = sides("counts", sets)
+        near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(*pair, "x", "y")
+        near = cut(near.mapInArrow(_within_reach(num, den), "a1 long, a2 long, b1 long, b2 long").distinct(), "near")
+        left = cut(near.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(near.select("b1", "b2")).distinct(), "left")
+        left = F.broadcast(left) if left.count() <= broadcast_ids else left
+        a, b = sides("grams", sets.join(left, ["c1", "c2"], "left_semi"))
         both = F.size(F.array_intersect("x", "y"))
         # both >= num/den of the union, as (num + den) * both >= num * (sizes)
         ok = (num + den) * both >= num * (F.size("x") + F.size("y"))
         # rows that repeat an id bring a set twice, and then a link
-        return pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(*pair)
+        return near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(*pair)
 
     def named(links: DataFrame) -> DataFrame:
         return links.select(F.concat(F.hex("a1"), F.lit("."), F.hex("a2")).alias("u"), F.concat(F.hex("b1"), F.lit("."), F.hex("b2")).alias("v"))
