@@ -7,9 +7,13 @@
 3. Each block multiplies its piece of the incidence by its transpose, counting overlaps of pairs; summed over blocks,
    a pair whose count can't reach ceil(t/(1+t) (n_a + n_b)) any more is discarded.
 4. Of the remaining pairs, counts of members by part of the hashes bound the overlap; whole sets of those still in
-   reach are intersected exactly.
+   reach are intersected exactly, first the most promising pair of each class, then pairs still in different components.
 A column shared by over `wide` classes is first linked along its members sorted by size and to its first member; what
 this leaves in different components is multiplied in full after that, so no link between components is lost.
+
+Of two sets that link, the j-th member they share (in the order of 2.) has at least `least` - j more behind it in both:
+a shared column whose place in either is beyond n - least + j - 1 can't be the j-th one. So only columns up to j = DEPTH
+are counted, and DEPTH (or all they must share) of them asked for; where one shared column is enough, it is the first.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import PLACE, cut, mix, word_hashes
+from .common import PLACE, cut, forget, mix, word_hashes
 from .components import components
 
 #: Entries of the table of frequent hashes: 4 MB as broadcast, whatever the input.
 TABLE = 1 << 22
 #: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
 PARTS = 256
+#: Shared columns that a pair has to have among the first ones of both, before whole sets are looked at.
+DEPTH = 16
 
 
 def shingle_sets(column: pa.Array, k: int, rows: int = 500) -> list[np.ndarray]:
@@ -64,6 +71,15 @@ def _needed(num: int, den: int, n):
     return -((-num * n) // den)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte: all lowest bytes first, so that the zeros of small numbers lie together and pack well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _describe(k: int):
     def run(batches):
         counts, seen = np.zeros(TABLE, np.uint32), set()
@@ -123,7 +139,7 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
             for j in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[j] : cuts[j + 1]]
                 mine, local = np.unique(who[o], return_inverse=True)
-                for name, x in (("block", j), ("cols", cols[o].tobytes()), ("who", local.astype(np.int32).tobytes()), ("place", place[o].tobytes()), ("classes", classes[mine].tobytes())):
+                for name, x in (("block", j), ("cols", cols[o].tobytes()), ("who", planes(local)), ("place", planes(place[o])), ("classes", classes[mine].tobytes())):
                     rows[name].append(x)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("cols", "who", "place", "classes")]]))
 
@@ -145,8 +161,8 @@ def _product(num: int, den: int, wide: int):
         for r in table.to_pylist():
             c = np.frombuffer(r["classes"], np.int64).reshape(-1, 3)
             cols.append(np.frombuffer(r["cols"], np.uint64))
-            who.append(np.frombuffer(r["who"], np.int32).astype(np.int64) + at)
-            place.append(np.frombuffer(r["place"], np.int32))
+            who.append(unplanes(r["who"]) + at)
+            place.append(unplanes(r["place"]))
             classes.append(c)
             at += len(c)
         cols, who, place, classes = (np.concatenate(x) for x in (cols, who, place, classes))
@@ -162,12 +178,11 @@ def _product(num: int, den: int, wide: int):
         first, many = start[run_of], length[run_of]
         own = np.arange(len(cols))
 
-        def pairs(x, y):
-            """Of entries x < y of one column, those whose sizes and places allow the overlap."""
+        def pairs(x, y, depth):
+            """Of entries x < y of one column, those whose sizes and places let it be one of the first depth they share."""
             nx, ny, px, py = size[who[x]], size[who[y]], place[x], place[y]
             least = _needed(num, num + den, nx + ny)
-            most = np.minimum(px, py) + 1 + np.minimum(nx - px - 1, ny - py - 1)
-            ok = (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny)) & (most >= least)
+            ok = (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny)) & (np.minimum(nx - px, ny - py) + depth > least)
             return x[ok], y[ok]
 
         narrow, lists = [], []
@@ -175,13 +190,13 @@ def _product(num: int, den: int, wide: int):
             x = own[(many <= wide) & (own + d < first + many)]
             if not len(x):
                 break
-            narrow.append(pairs(x, x + d))
+            narrow.append(pairs(x, x + d, DEPTH))
         big = many > wide
         if big.any():
             x = own[big & (own + 1 < first + many)]
-            lists.append(pairs(x, x + 1))
+            lists.append(pairs(x, x + 1, 1))
             y = own[big & (own > first)]
-            lists.append(pairs(first[y], y))
+            lists.append(pairs(first[y], y, 1))
 
         def distinct(found, kind):
             if not found:
@@ -209,11 +224,12 @@ def _product(num: int, den: int, wide: int):
 def _across(num: int, den: int):
     """Pairs of one wide column whose classes are still in different components.
 
-    Pairs that share a narrow column were judged before; the others overlap at most in the wide columns that either
-    has, and beyond the kept columns."""
+    Pairs with a narrow one among the first DEPTH columns they share were judged before; of the others these are all
+    wide, and the first they share is this one or is multiplied elsewhere. `wide` counts the wide columns that a class
+    has from this one on."""
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas()
+        t = table.to_pandas().sort_values(["col", "na"], kind="stable")
         found = []
         for _, g in t.groupby("col", sort=False):
             comp = pd.factorize(g["label"])[0]
@@ -222,13 +238,14 @@ def _across(num: int, den: int):
             n, place, wide, ids = g["na"].to_numpy(), g["place"].to_numpy(), g["wide"].to_numpy(), g[["a1", "a2"]].to_numpy()
             rest = _needed(num, den, n) - 1
             largest = np.bincount(comp).argmax()
-            for i in np.flatnonzero(comp != largest):
-                least = _needed(num, num + den, n + n[i])
-                most = np.minimum(place, place[i]) + 1 + np.minimum(n - place - 1, n[i] - place[i] - 1)
-                most = np.minimum(most, np.minimum(wide, wide[i]) + np.maximum(rest, rest[i]))
-                ok = (comp != comp[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i])) & (most >= least)
-                ok &= (comp == largest) | (np.arange(len(n)) > i)
-                j = np.flatnonzero(ok)
+            low, high = np.searchsorted(n, _needed(num, den, n)), np.searchsorted(n, n * den // num, "right")
+            for i in np.flatnonzero(comp != largest).tolist():
+                z = slice(low[i], high[i])
+                least = _needed(num, num + den, n[z] + n[i])
+                ok = (comp[z] != comp[i]) & (np.minimum(n[z] - place[z], n[i] - place[i]) >= least)
+                ok &= np.minimum(wide[z], wide[i]) >= np.minimum(DEPTH, least - np.maximum(rest[z], rest[i]))
+                ok &= (comp[z] == largest) | (np.arange(low[i], high[i]) > i)
+                j = low[i] + np.flatnonzero(ok)
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
         x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
@@ -249,7 +266,7 @@ def _sets(k: int):
             found = [found[i] for i in {g: i for i, (g, _) in enumerate(found) if g not in seen}.values()]
             seen.update(g for g, _ in found)
             sets = [s for _, s in found]
-            counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype("<u4").tobytes() for s in sets]
+            counts = [planes(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS)) for s in sets]
             arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g, _ in found], pa.int64()), pa.array([g[1] for g, _ in found], pa.int64()), pa.array(counts, pa.binary()), arrays], names=["c1", "c2", "counts", "grams"])
 
@@ -257,13 +274,14 @@ def _sets(k: int):
 
 
 def _within_reach(num: int, den: int):
-    """Pairs a1, a2, b1, b2 whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts."""
+    """Pairs a1, a2, b1, b2 whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts, `most`."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
-            ok = (num + den) * np.minimum(x, y).sum(1) >= num * (x.sum(1) + y.sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a1", "a2", "b1", "b2")], names=["a1", "a2", "b1", "b2"]).filter(pa.array(ok))
+            x, y = (np.array([unplanes(v) for v in b.column(c).to_pylist()], np.int64).reshape(-1, PARTS) for c in ("x", "y"))
+            most, sizes = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            arrays = [*(b.column(c) for c in ("a1", "a2", "b1", "b2")), pa.array(most / np.maximum(sizes, 1), pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a1", "a2", "b1", "b2", "most"]).filter(pa.array((num + den) * most >= num * sizes))
 
     return run
 
@@ -293,64 +311,81 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     product = cut(rows.mapInArrow(_blocks(k, num, den, blocks, frequent), BLOCK).groupBy("block").applyInArrow(_product(num, den, wide), PRODUCT), "product")
 
     pair = ["a1", "a2", "b1", "b2"]
-    entries = product.where("kind = 2").select("col", "a1", "a2", "na", "place")
-    spread = entries.groupBy("a1", "a2").agg(F.count("*").alias("wide"))
+    onward = Window.partitionBy("a1", "a2").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    entries = cut(product.where("kind = 2").select("col", "a1", "a2", "na", "place", F.count("*").over(onward).alias("wide")), "entries")
+    spread = entries.groupBy("a1", "a2").agg(F.max("wide").alias("wide"))
     in_a, in_b = spread.select("a1", "a2", F.col("wide").alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("wide").alias("wide_b"))
-    # overlaps in narrow columns are counted in full; those in wide ones are at most the entries that either set has there
+    # the first DEPTH columns that a pair shares are counted where narrow; of wide ones they share at most what either has
     counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
-    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
-    rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
+    asked = F.least(F.lit(DEPTH), F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) + 1)
     wide_both = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
     counted = counted.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
-    pairs = cut(counted.where(F.col("shared") + wide_both + rest >= least).select(*pair), "pairs")
+    pairs = cut(counted.where(F.col("shared") + wide_both >= asked).select(*pair), "pairs")
+    forget(product)
+
+    def name(a: str, b: str):
+        return F.concat(F.hex(a), F.lit("."), F.hex(b))
+
+    def sides(what: str, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return of.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col(what).alias("x")), of.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col(what).alias("y"))
+
+    def members(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("b1", "b2")).distinct(), "members")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
-        wanted = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("b1", "b2")).distinct()
-        whole = wanted.join(classes, ["c1", "c2"]).where("not (rep is null)")
-        ids = cut(whole.select(F.col("rep").alias("id")).distinct(), "wanted")
+    def linked(near: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The components after linking those of the pairs whose whole sets are similar enough."""
+        own = members(near)
+        own = F.broadcast(own) if own.count() <= broadcast_ids else own
+        a, b = sides("grams", sets.join(own, ["c1", "c2"], "left_semi"))
+        # both >= num/den of the union, as (num + den) * both >= num * (sizes)
+        ok = (num + den) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))
+        # rows that repeat an id bring a set twice, and then a link
+        links = cut(near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v")), "links")
+        if labels is None:
+            return components(links)
+        return labels if links.isEmpty() else components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+
+    def grown(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The components after all links among pairs that join two of them."""
+        wanted = members(pairs)
+        whole = wanted.join(classes, ["c1", "c2"])
+        ids = cut(whole.where("rep is not null").select(F.col("rep").alias("id")).distinct(), "wanted")
         ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
         some = rows.join(ids, "id", "left_semi")
-        nameless = wanted.join(classes, ["c1", "c2"]).where("rep is null").limit(1).count()
+        nameless = whole.where("rep is null").limit(1).count()
         some = some.unionByName(rows.where("id is null")) if nameless else some
         sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, counts binary, grams array<long>"), "grams")
 
-        def sides(what: str, of: DataFrame) -> tuple[DataFrame, DataFrame]:
-            return of.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col(what).alias("x")), of.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col(what).alias("y"))
-
         a, b = sides("counts", sets)
         near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(*pair, "x", "y")
-        near = cut(near.mapInArrow(_within_reach(num, den), "a1 long, a2 long, b1 long, b2 long").distinct(), "near")
-        left = cut(near.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(near.select("b1", "b2")).distinct(), "left")
-        left = F.broadcast(left) if left.count() <= broadcast_ids else left
-        a, b = sides("grams", sets.join(left, ["c1", "c2"], "left_semi"))
-        both = F.size(F.array_intersect("x", "y"))
-        # both >= num/den of the union, as (num + den) * both >= num * (sizes)
-        ok = (num + den) * both >= num * (F.size("x") + F.size("y"))
-        # rows that repeat an id bring a set twice, and then a link
-        return near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(*pair)
-
-    def named(links: DataFrame) -> DataFrame:
-        return links.select(F.concat(F.hex("a1"), F.lit("."), F.hex("a2")).alias("u"), F.concat(F.hex("b1"), F.lit("."), F.hex("b2")).alias("v"))
-
-    links = cut(named(linked(pairs)), "links")
-    labels = components(links)
+        near = cut(near.mapInArrow(_within_reach(num, den), "a1 long, a2 long, b1 long, b2 long, most double"), "near")
+        each = near.withColumn("node", F.explode(F.array(name("a1", "a2"), name("b1", "b2"))))
+        best = each.groupBy("node").agg(F.max(F.struct("most", *pair)).alias("best")).select("best.*").select(*pair).distinct()
+        labels = linked(cut(best, "best"), sets, labels)
+
+        def label(a: str, b: str) -> DataFrame:
+            return labels.select(F.col("node").alias(a), F.col("label").alias(b))
+
+        apart = near.select(*pair).distinct().withColumn("u", name("a1", "a2")).withColumn("v", name("b1", "b2"))
+        apart = apart.join(label("u", "of_u"), "u", "left").join(label("v", "of_v"), "v", "left")
+        apart = cut(apart.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select(*pair), "apart")
+        if not apart.isEmpty():
+            labels = linked(apart, sets, labels)
+        forget(sets)
+        return labels
+
+    labels = grown(pairs, None)
     if not entries.isEmpty():
-        name = F.concat(F.hex("a1"), F.lit("."), F.hex("a2"))
-        held = entries.join(spread, ["a1", "a2"]).withColumn("node", name).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = entries.withColumn("node", name("a1", "a2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
         more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, b1 long, b2 long").distinct()
         more = cut(more.join(pairs, pair, "left_anti"), "pairs")
         if not more.isEmpty():
-            extra = cut(named(linked(more)), "links")
-            if not extra.isEmpty():
-                links = links.unionByName(extra)
-                labels = components(links)
+            labels = grown(more, labels)
 
-    key = F.concat(F.hex("c1"), F.lit("."), F.hex("c2"))
-    member = classes.withColumn("node", key).join(labels, "node").select("c1", "c2", "rep", "label")
+    member = classes.withColumn("node", name("c1", "c2")).join(labels, "node").select("c1", "c2", "rep", "label")
     least = member.groupBy("label").agg(F.min("rep").alias("component"))
     member = cut(member.join(least, "label").select("c1", "c2", "component"), "members")
     known = classes.join(member, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
