@@ -11,9 +11,8 @@
 A column shared by over `wide` classes is first linked along its members sorted by size and to its first member; what
 this leaves in different components is multiplied in full after that, so no link between components is lost.
 
-Of two sets that link, the j-th member they share (in the order of 2.) has at least `least` - j more behind it in both:
-a shared column whose place in either is beyond n - least + j - 1 can't be the j-th one. So only columns up to j = DEPTH
-are counted, and DEPTH (or all they must share) of them asked for; where one shared column is enough, it is the first.
+The first column that two linked sets share (in the order of 2.) has at least `least` - 1 more members behind it in
+both. Of a wide column, only pairs for which it can be that first one are made.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ from .components import components
 TABLE = 1 << 22
 #: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
 PARTS = 256
-#: Shared columns that a pair has to have among the first ones of both, before whole sets are looked at.
-DEPTH = 16
 
 
 def shingle_sets(column: pa.Array, k: int, rows: int = 500) -> list[np.ndarray]:
@@ -178,11 +175,12 @@ def _product(num: int, den: int, wide: int):
         first, many = start[run_of], length[run_of]
         own = np.arange(len(cols))
 
-        def pairs(x, y, depth):
-            """Of entries x < y of one column, those whose sizes and places let it be one of the first depth they share."""
+        def pairs(x, y, first: bool):
+            """Of entries x < y of one column, those whose sizes and places allow the overlap; with first, as the first column they share."""
             nx, ny, px, py = size[who[x]], size[who[y]], place[x], place[y]
             least = _needed(num, num + den, nx + ny)
-            ok = (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny)) & (np.minimum(nx - px, ny - py) + depth > least)
+            before = 0 if first else np.minimum(px, py)
+            ok = (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny)) & (before + np.minimum(nx - px, ny - py) >= least)
             return x[ok], y[ok]
 
         narrow, lists = [], []
@@ -190,13 +188,13 @@ def _product(num: int, den: int, wide: int):
             x = own[(many <= wide) & (own + d < first + many)]
             if not len(x):
                 break
-            narrow.append(pairs(x, x + d, DEPTH))
+            narrow.append(pairs(x, x + d, False))
         big = many > wide
         if big.any():
             x = own[big & (own + 1 < first + many)]
-            lists.append(pairs(x, x + 1, 1))
+            lists.append(pairs(x, x + 1, True))
             y = own[big & (own > first)]
-            lists.append(pairs(first[y], y, 1))
+            lists.append(pairs(first[y], y, True))
 
         def distinct(found, kind):
             if not found:
@@ -224,9 +222,9 @@ def _product(num: int, den: int, wide: int):
 def _across(num: int, den: int):
     """Pairs of one wide column whose classes are still in different components.
 
-    Pairs with a narrow one among the first DEPTH columns they share were judged before; of the others these are all
-    wide, and the first they share is this one or is multiplied elsewhere. `wide` counts the wide columns that a class
-    has from this one on."""
+    Pairs that share a narrow column were judged before; the others overlap at most in wide columns, of which the first
+    they share is this one or is multiplied elsewhere, and beyond the kept columns. `wide` counts the wide columns that
+    a class has from this one on."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pandas().sort_values(["col", "na"], kind="stable")
@@ -243,7 +241,7 @@ def _across(num: int, den: int):
                 z = slice(low[i], high[i])
                 least = _needed(num, num + den, n[z] + n[i])
                 ok = (comp[z] != comp[i]) & (np.minimum(n[z] - place[z], n[i] - place[i]) >= least)
-                ok &= np.minimum(wide[z], wide[i]) >= np.minimum(DEPTH, least - np.maximum(rest[z], rest[i]))
+                ok &= np.minimum(wide[z], wide[i]) + np.maximum(rest[z], rest[i]) >= least
                 ok &= (comp[z] == largest) | (np.arange(low[i], high[i]) > i)
                 j = low[i] + np.flatnonzero(ok)
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
@@ -315,12 +313,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = cut(product.where("kind = 2").select("col", "a1", "a2", "na", "place", F.count("*").over(onward).alias("wide")), "entries")
     spread = entries.groupBy("a1", "a2").agg(F.max("wide").alias("wide"))
     in_a, in_b = spread.select("a1", "a2", F.col("wide").alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("wide").alias("wide_b"))
-    # the first DEPTH columns that a pair shares are counted where narrow; of wide ones they share at most what either has
+    # overlaps in narrow columns are counted in full; those in wide ones are at most the entries that either set has there
     counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
-    asked = F.least(F.lit(DEPTH), F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) + 1)
+    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
     wide_both = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
     counted = counted.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
-    pairs = cut(counted.where(F.col("shared") + wide_both >= asked).select(*pair), "pairs")
+    pairs = cut(counted.where(F.col("shared") + wide_both + rest >= least).select(*pair), "pairs")
     forget(product)
 
     def name(a: str, b: str):
@@ -334,9 +333,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def linked(near: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after linking those of the pairs whose whole sets are similar enough."""
-        own = members(near)
-        own = F.broadcast(own) if own.count() <= broadcast_ids else own
-        a, b = sides("grams", sets.join(own, ["c1", "c2"], "left_semi"))
+        few = near.count() <= broadcast_ids
+        a, b = (near.select(F.col(f"{x}1").alias("c1"), F.col(f"{x}2").alias("c2")).distinct() for x in "ab")
+        a, b = (sides("grams", sets.join(F.broadcast(own) if few else own, ["c1", "c2"], "left_semi"))[i] for i, own in enumerate((a, b)))
         # both >= num/den of the union, as (num + den) * both >= num * (sizes)
         ok = (num + den) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))
         # rows that repeat an id bring a set twice, and then a link
