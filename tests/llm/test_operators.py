@@ -140,6 +140,41 @@ def test_lm(odd, docs, head):
     assert lm.bloom_lm_score(docs.limit(0), queries._mod(7) == 2).count() == 0
 
 
+def modelled(rows, held, least):
+    """Scores by the model with counts at their levels, without a filter's false probes."""
+    toks = [[None, *WORDS.findall(lower(t)), None] for _, t in rows]
+    train = [ts for (i, _), ts in zip(rows, toks, strict=True) if not held(i)]
+    one = Counter(t for ts in train for t in ts[1:])
+    two = Counter(p for ts in train for p in zip(ts, ts[1:], strict=False))
+    total = sum(one.values()) + len(one) + 1.0
+    at = lambda c: float(lm.count_of(np.array([c.bit_length()]))[0])
+    out = {}
+    for (i, _), ts in zip(rows, toks, strict=True):
+        out[i] = 0.0
+        for a, b in zip(ts, ts[1:], strict=False):
+            x, n = at(one[a]), at(one[b])
+            p = (n + 1) / total
+            if x:
+                p = 0.4 * p + 0.6 * min(at(two[a, b]) if two[a, b] >= least else 0.0, x) / x
+            out[i] += math.log10(min(p, 1.0))
+    return out
+
+
+@pytest.fixture(scope="module")
+def short_words(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(np.base_repr(x, 36) for x in rng.integers(36, 36**3, 60))) for i in range(400)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_lm_filter_grows_with_its_entries(short_words):
+    rows, df = short_words
+    want = modelled(rows, lambda i: i % 7 == 2, 2)
+    got = {r["doc_id"]: r["score"] for r in lm.bloom_lm_score(df, F.col("doc_id") % 7 == 2, least=2, block_bytes=2000).collect()}
+    assert got.keys() == want.keys()
+    assert np.mean([abs(got[i] - want[i]) / 61 for i in want]) < 0.05
+
+
 def test_filter_keeps_counts():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     level = np.arange(1, 2000) % 9 + 1
