@@ -175,6 +175,14 @@ def test_lm_filter_grows_with_its_entries(short_words):
     assert np.mean([abs(got[i] - want[i]) / 61 for i in want]) < 0.05
 
 
+def test_lm_keeps_bigrams_seen_once(short_words):
+    rows, df = short_words
+    want = modelled(rows, lambda i: i % 7 == 2, 1)
+    got = {r["doc_id"]: r["score"] for r in lm.bloom_lm_score(df, F.col("doc_id") % 7 == 2, block_bytes=2000).collect()}
+    assert got.keys() == want.keys()
+    assert np.mean([abs(got[i] - want[i]) / 61 for i in want]) < 0.05
+
+
 def test_filter_keeps_counts():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     level = np.arange(1, 2000) % 9 + 1

@@ -228,12 +228,12 @@ def _score(model, head, weight: float):
     return run
 
 
-def bloom_lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = 2, weight: float = 0.6, entry_bits: int = 16, head: int = 1 << 20, block_bytes: int = 8 << 20, slice_bytes: int = 12 << 20) -> DataFrame:
+def bloom_lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = 1, weight: float = 0.6, entry_bits: int = 16, head: int = 1 << 20, block_bytes: int = 8 << 20, slice_bytes: int = 12 << 20) -> DataFrame:
     """Scores whole texts by a bigram model of the rows that the condition held_out doesn't pick.
 
     Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end; null texts are empty. Smoothing: the bigram's
-    share of its first word, by the filter's counts, mixed (weight) with (count + 1) / (N + V + 1). Bigrams seen fewer
-    than `least` times aren't stored. Returns id, held_out, n_tokens, n_known, train_tokens (N), base_score (log10 of
+    share of its first word, by the filter's counts, mixed (weight) with (count + 1) / (N + V + 1). All bigrams
+    are stored; with least > 1, those seen fewer times aren't. Returns id, held_out, n_tokens, n_known, train_tokens (N), base_score (log10 of
     the add-one unigram probability, exact counts) and score (log10, the model's), a row for each row. Without training
     rows N = V = 0. The filter takes entry_bits for each n-gram and level (16: 0.5 % false probes), whatever their number; it
     is probed block by block. head bounds the broadcast exact counts, beyond which words are joined. docs is read twice
