@@ -85,6 +85,19 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n, parts", [(6, 1), (10, 3), (90, 30)])
+def test_top_k_in_few_rows(spark, n, parts):
+    rng = np.random.default_rng(n)
+    vecs = [(i, [float(x) for x in rng.integers(-4, 5, 9 if i % 5 else 7)]) for i in range(n)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").repartition(parts)
+    want = set()
+    for q, v in vecs:
+        s = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w, strict=True)), i) for i, w in vecs if i != q and len(w) == len(v))[:10]
+        want |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s)}
+    got = topk.exact_top_k(df, F.lit(True), segments=(2, 4)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("wide", [32, 2])
 def test_jaccard(odd, docs, wide):
     for rows, df in zip(*both(odd, docs), strict=True):

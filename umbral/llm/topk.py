@@ -79,7 +79,7 @@ def search(q: np.ndarray, q_levels, q_ids: np.ndarray, x: np.ndarray, ids: np.nd
         top = np.argpartition(-bound[i], min(k, n) - 1)[: min(k, n)] if n else np.zeros(0, int)
         if len(top) == k:
             best.floor[at[i]] = np.sort(exact(q[i : i + 1], x[top])[0])[0]
-    alive = bound >= best.floor[at][:, None]
+    alive = (bound >= best.floor[at][:, None]) & ~own  # a floor may still be -inf
     for ql, xl in zip(q_levels[1:], x_levels[1:], strict=True):
         if alive.mean() > 0.2:
             alive &= ql @ xl.T + slack >= best.floor[at][:, None]
