@@ -337,6 +337,21 @@ def test_edit_counts(odd, docs):
             assert doc.tree.tokens == len(encode(doc.text)) and doc.tree.chars == len(doc.text) and doc.tree.pieces == len(counter.split.findall(doc.text))
 
 
+def test_edits_beside_apostrophes():
+    counter = edits.Counter(edits.load_ranks(queries.BPE_RANKS))
+    encode = counter.encoding.encode_ordinary
+    doc = edits.Document("we'r", counter)
+    doc.edit(4, 0, "e")
+    assert (doc.tree.pieces, doc.tree.tokens) == (2, len(encode("we're")))
+    rng = np.random.default_rng(6)
+    alphabet = list("'' revlmdst1.")
+    for _ in range(500):
+        doc = edits.Document("".join(rng.choice(alphabet, rng.integers(0, 200))), counter)
+        for _ in range(8):
+            doc.edit(int(rng.integers(0, 210)), int(rng.integers(0, 4)), "".join(rng.choice(alphabet, rng.integers(0, 4))))
+            assert doc.tree.tokens == len(encode(doc.text)) and doc.tree.chars == len(doc.text) and doc.tree.pieces == len(counter.split.findall(doc.text))
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

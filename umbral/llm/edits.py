@@ -134,11 +134,11 @@ class Document:
         end = min(len(old), start + max(0, deleted))
         new = old[:start] + inserted + old[end:]
         shift = len(new) - len(old)
-        # the pre-token before the edit may grow into it, and white space before that may regroup
+        # the pre-token before the edit may grow into it, white space before that may regroup, an apostrophe there begin a contraction
         leaf, i, at = tree.find(max(0, start - 1))
         while at > 0 and (back := tree.before(leaf, i)) is not None:
             n = tree.leaves[back[0]][0][back[1]]
-            if not old[at - n : at].isspace():
+            if not old[at - n : at].isspace() and old[at - 1] != "'":
                 break
             (leaf, i), at = back, at - n
         pieces, meet, to = [], None, at
