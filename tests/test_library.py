@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,19 @@ def test_sql_texts_audit(spark, people, tmp_path):
     assert "cpf" in lineage.to_html(lineage.compliance_report(found))
     lineage.configure(canary_salt="s")
     assert lineage.configure(canary_salt=None)["canary_salt"] is None
+
+
+def test_nearest_distances_hold_all_rows(spark):
+    rng = np.random.default_rng(4)
+    real, made = np.round(rng.normal(size=(3000, 2)), 2), np.round(rng.normal(size=(1500, 2)), 2)
+    real[:200] = real[0]  # repeats
+    made[:100] = real[:100]
+    low, span = real.min(0), real.max(0) - real.min(0)
+    d = np.sqrt(((((made - low) / span)[:, None] - ((real - low) / span)[None]) ** 2).sum(2))
+    d.sort(axis=1)
+    want = d[:, 0].mean(), (d[:, 0] / np.maximum(d[:, 1], 1e-12)).mean()
+    a, b = (spark.createDataFrame(x.tolist(), "a double, b double") for x in (real, made))
+    for more in ({}, {"wave_bytes": 20_000}):
+        got = P.nearest_distances(a, b, ["a", "b"], **more).first()
+        assert np.allclose([got["dcr"], got["nndr"]], want, rtol=1e-9)
+    assert P.nearest_distances(a.limit(0), b, ["a", "b"]).first()["dcr"] is None

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -197,15 +199,94 @@ def utility(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def nearest_distances(real: DataFrame, synthetic: DataFrame, columns: list[str], n: int = 500, key: str | None = None) -> DataFrame:
-    """One row: dcr (mean distance to the closest real row) and nndr (its ratio to the second), on n rows of each side, min-max scaled."""
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of rows in boxes of at most size rows, split at the middle of the widest side."""
+    out, todo = [], [np.arange(len(x))] if len(x) else []
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        own = x[at]
+        o = np.argpartition(own[:, np.argmax(own.max(0) - own.min(0))], len(at) // 2)
+        todo += [at[o[len(at) // 2 :]], at[o[: len(at) // 2]]]
+    return out
+
+
+def _boxes(x: np.ndarray, size: int = 128) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The rows by box, and the boxes' lower and upper corners."""
+    own = [x[at] for at in _leaves(x, size)]
+    return own, np.array([y.min(0) for y in own]).reshape(-1, x.shape[1]), np.array([y.max(0) for y in own]).reshape(-1, x.shape[1])
+
+
+def _two_nearest(q: np.ndarray, boxes) -> np.ndarray:
+    """Distances from each row of q to its two nearest rows in boxes, exactly; boxes that can't hold a nearer row are skipped."""
+    own, low, high = boxes
+    out = np.full((len(q), 2), np.inf)
+    for at in _leaves(q, 128):
+        x, best = q[at], out[at]
+        gap = np.maximum(0.0, np.maximum(low - x.max(0), x.min(0) - high))
+        gap = (gap * gap).sum(1) * (1 - 1e-12)
+        for j in np.argsort(gap).tolist():
+            if gap[j] > best[:, 1].max():
+                break
+            d = sum((x[:, c, None] - own[j][None, :, c]) ** 2 for c in range(q.shape[1]))
+            best = np.partition(np.column_stack([best, d]), 1, axis=1)[:, :2]
+        out[at] = np.sqrt(best)
+    return out
+
+
+def nearest_distances(real: DataFrame, synthetic: DataFrame, columns: list[str], n: int | None = None, key: str | None = None, wave_bytes: int = 16 << 20) -> DataFrame:
+    """One row: dcr (mean distance to the closest real row) and nndr (its ratio to the second), min-max scaled by the real rows.
+
+    Every synthetic row is held against every real row, exactly; rows with a null take no part. Real rows go out in waves
+    of at most wave_bytes. With n, only n rows of each side count, in the order of a hash of key (default: of the columns).
+    """
     row = real.agg(*[x for c in columns for x in (F.min(c).cast("double"), F.max(c).cast("double"))]).first()
-    scaled = lambda df: df.dropna(subset=columns).orderBy(F.xxhash64(*([key] if key else columns)), *columns).limit(n).select(F.array(*[(F.col(c) - row[2 * i]) / max(1e-12, row[2 * i + 1] - row[2 * i]) for i, c in enumerate(columns)]).alias("x"))
-    a, b = scaled(real).withColumnRenamed("x", "y"), scaled(synthetic).withColumn("i", F.monotonically_increasing_id())
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    near = b.crossJoin(F.broadcast(a)).select("i", dist.alias("d"))  # n times n rows, by definition
-    best = near.groupBy("i").agg(F.min("d").alias("d1"), F.slice(F.sort_array(F.collect_list("d")), 1, 2).alias("two"))
-    return best.agg(F.avg("d1").alias("dcr"), F.avg(F.col("d1") / F.greatest(F.element_at("two", 2), F.lit(1e-12))).alias("nndr"))
+    low, high = [row[2 * i] or 0.0 for i in range(len(columns))], [row[2 * i + 1] or 0.0 for i in range(len(columns))]
+    names = [f"x{i}" for i in range(len(columns))]
+
+    def points(df: DataFrame) -> DataFrame:
+        df = df.dropna(subset=columns)
+        if n is not None:
+            df = df.orderBy(F.xxhash64(*([key] if key else columns)), *columns).limit(n)
+        return df.select(*[((F.col(c).cast("double") - low[i]) / max(1e-12, high[i] - low[i])).alias(names[i]) for i, c in enumerate(columns)]).groupBy(*names).agg(F.count("*").alias("n"))
+
+    def search(boxes, most: int = 1 << 17):
+        def flush(held):
+            t = pa.Table.from_batches(held)
+            two = _two_nearest(np.column_stack([t.column(c).to_numpy() for c in names]), boxes.value)
+            two.sort(axis=1)
+            two = pa.array([[d for d in x if d < np.inf] for x in two.tolist()], pa.list_(pa.float64()))
+            return t.append_column("two", two).to_batches()
+
+        def run(batches):
+            held, rows = [], 0
+            for b in batches:
+                held.append(b)
+                rows += b.num_rows
+                if rows >= most:
+                    yield from flush(held)
+                    held, rows = [], 0
+            if rows:
+                yield from flush(held)
+
+        return run
+
+    a, b = points(real), points(synthetic)
+    waves = max(1, -(-a.count() * 16 * len(columns) // wave_bytes))
+    found = None
+    for w in range(waves):
+        t = a.where(F.pmod(F.xxhash64(*names), F.lit(waves)) == w).toArrow()
+        x = np.column_stack([t.column(c).to_numpy() for c in names])
+        boxes = real.sparkSession.sparkContext.broadcast(_boxes(np.repeat(x, np.minimum(t.column("n").to_numpy(), 2), axis=0)))
+        part = b.mapInArrow(search(boxes), ", ".join(f"{c} double" for c in names) + ", n long, two array<double>")
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy(*names, "n").agg(F.sort_array(F.flatten(F.collect_list("two"))).alias("two"))  # two distances a wave
+    best = best.select("n", F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2"))
+    ratio = F.when(F.col("d2").isNotNull(), F.col("d1") / F.greatest("d2", F.lit(1e-12)))
+    mean = lambda x: F.sum(x * F.col("n")) / F.nullif(F.sum(F.when(x.isNotNull(), F.col("n"))), F.lit(0))
+    return best.agg(mean(F.col("d1")).alias("dcr"), mean(ratio).alias("nndr"))
 
 
 def tstr(real: DataFrame, synthetic: DataFrame, target: str, features: list[str]) -> dict:
