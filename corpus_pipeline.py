@@ -27,16 +27,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of the n-gram Jaccard join the document with the smallest id; texts without words link with none.
-
-    Rows with a null id go if their component has a named row; of rows that repeat an id, one stays."""
-    found = cut(jaccard.ngram_jaccard_join(docs), "found")
-    gone = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
+    """Keeps exactly one row of each component of the n-gram Jaccard join, that with the smallest id; rows that link with none stay.
+
+    Where rows repeat an id or have none, they are numbered first and told apart by number; named rows go before nameless ones."""
+    docs, key = docs.select(*COLUMNS), "doc_id"
+    numbered = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if numbered:
+        docs, key = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"), "__row"
+    found = cut(jaccard.ngram_jaccard_join(docs, id_col=key), "found")
+    if numbered:
+        rows = found.select("__row", "component_id").join(docs.select("__row", "doc_id"), "__row")
+        first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+        gone = rows.join(first, "component_id").where("__row <> first.__row").select("__row")
+    else:
+        gone = found.where("doc_id <> component_id").select("doc_id")
     gone = cut(gone, "gone")
     few = F.broadcast(gone) if gone.count() <= 1 << 20 else gone
-    kept = docs.select(*COLUMNS).join(few, "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])) if twice else kept
+    return docs.join(few, key, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

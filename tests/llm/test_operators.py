@@ -365,3 +365,23 @@ def test_pipeline(spark):
     assert mixed.columns == pipeline.COLUMNS and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     last = pipeline.sentencepiece(spark, mixed, SF).collect()
     assert Counter(r["text_sha256"] for r in last) == Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.collect())
+
+
+def test_near_duplicates_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [
+        (1, long[0]), (2, long[0] + " x"),  # linked
+        (2, long[1]),  # repeats the id of a row that goes, unlinked
+        (3, long[2]), (3, "another text that has id three too"), (3, ""),
+        (None, long[3]), (None, long[3]), (None, long[3] + " y"),  # nameless copies
+        (None, long[2] + " z"),  # a nameless copy of a named row
+        (None, "a nameless text that links with none"), (4, None), (4, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, df, SF)
+    assert got.columns == pipeline.COLUMNS
+    seen = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    nameless = [k for k in seen if k[0] is None and k[1].startswith(long[3])]
+    assert len(nameless) == 1 and seen.pop(nameless[0]) == 1
+    assert seen == Counter([rows[0], rows[2], rows[3], rows[4], rows[5], rows[10], rows[11], rows[12]])
