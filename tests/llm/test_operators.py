@@ -277,6 +277,13 @@ def test_media(odd, docs, spark):
     assert media.store_media(docs.limit(0))[0].count() == 0
 
 
+def test_media_query_has_header_columns(spark, docs):
+    got = queries.op7_media_columns(spark, SF).collect()
+    size = Counter((r["doc_id"], len((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == size
+    assert all((r["width"], r["height"], r["bit_depth"]) == (192, max(1, -(-r["n_bytes"] // 192)), 8) and r["feature"] for r in got)
+
+
 def test_pieces(odd, docs):
     for rows, df in zip(*both(odd, docs), strict=True):
         a = pieces.sentencepiece_encode(df, queries.PIECE_MODEL, seed=3, proof=True)

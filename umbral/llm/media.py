@@ -145,6 +145,7 @@ def _read(folder: str, whole: bool):
         try:
             for b in batches:
                 names, offsets, lengths = (b.column(i).to_pylist() for i in (3, 4, 5))
+                skip = 3 if "width" in b.schema.names else 0  # columns that media_metadata has filled
                 cols: list[list] = [[] for _ in range(9 if whole else 3)]
                 last = None
                 for i in sorted(range(b.num_rows), key=lambda i: (names[i], offsets[i])):
@@ -167,7 +168,8 @@ def _read(folder: str, whole: bool):
                         c.append((i, v))
                 kinds = [pa.int32()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 arrays = [pa.array([v for _, v in sorted(c, key=lambda x: x[0])], t) for c, t in zip(cols, kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"][: 6 + len(arrays)])
+                made = ["width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"][: len(arrays)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *arrays[skip:]], names=[*b.schema.names, *made[skip:]])
         finally:
             for f in files.values():
                 f.close()
@@ -182,9 +184,9 @@ def media_metadata(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(rows: DataFrame, folder: str) -> DataFrame:
-    """rows with metadata and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32 (of the last 16), media_bytes, media_sha256, feature. Damaged bytes raise."""
-    schema = ROWS.format(id=rows.schema["id"].dataType.simpleString())
-    return rows.mapInArrow(_read(folder, True), f"{schema}, {META}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """rows with metadata (kept where media_metadata has filled them) and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32 (of the last 16), media_bytes, media_sha256, feature. Damaged bytes raise."""
+    schema = f"{ROWS.format(id=rows.schema['id'].dataType.simpleString())}, {META}"
+    return rows.mapInArrow(_read(folder, True), f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def open_shard(folder: str, shard: str) -> tarfile.TarFile:

@@ -48,8 +48,8 @@ def op6_balanced_shards(spark, sf_dir):
 
 def op7_media_columns(spark, sf_dir):
     rows, folder = media.store_media(_table(spark, sf_dir, "documents"))
-    out = media.media_features(rows, folder)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = media.media_features(media.media_metadata(rows, folder), folder)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
 def op8_sentencepiece(spark, sf_dir):
