@@ -219,3 +219,16 @@ def test_nearest_distances_hold_all_rows(spark):
         got = P.nearest_distances(a, b, ["a", "b"], **more).first()
         assert np.allclose([got["dcr"], got["nndr"]], want, rtol=1e-9)
     assert P.nearest_distances(a.limit(0), b, ["a", "b"]).first()["dcr"] is None
+
+
+def test_whole_joins_take_every_row(spark):
+    from umbral import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    orders, customer = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
+    run = lambda how: catalogue.queries()[f"join_{how}_whole"](spark, sf)
+    assert run("inner").select("o_orderkey").distinct().count() == run("left").select("o_orderkey").distinct().count() == orders.count()
+    assert run("right").select("c_name").distinct().count() == customer.count()
+    out = run("outer")
+    assert out.select("o_orderkey").distinct().count() == orders.count() + 1 and out.select("c_name").distinct().count() == customer.count() + 1
+    assert run("semi").count() + run("anti").count() == customer.count()

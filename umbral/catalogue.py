@@ -1,4 +1,5 @@
-"""All registered queries with the SQL that checks them. Every query runs over whole tables."""
+"""All registered queries with the SQL that checks them. Every query runs over whole tables, but for the six join_* with
+filters, whose SQL is fixed; their join_*_whole take every row."""
 
 from __future__ import annotations
 
@@ -168,6 +169,16 @@ for how, word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOI
     add(f"join_{how}", lambda t, how=how: X.join(X.where(on(t), "o_orderkey % 3 = 0").select("c_custkey", "o_orderkey"), some(t), "c_custkey", how), f"SELECT coalesce(o_custkey, c_custkey) AS c_custkey, o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {word} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
 add("join_semi", lambda t: X.join(some(t), X.where(on(t), o_orderstatus="F"), "c_custkey", "semi"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 add("join_anti", lambda t: X.join(some(t), on(t), "c_custkey", "anti"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+# every row takes part; shifted keys leave rows of either side without a partner
+far_o = lambda t: t.orders.select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1_000_000_000_000).alias("c_custkey"), "o_orderkey")
+far_c = lambda t: t.customer.select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey")).alias("c_custkey"), "c_name")
+FAR_O = "(SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1000000000000 END AS c_custkey, o_orderkey FROM orders)"
+FAR_C = "(SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -1 - c_custkey END AS c_custkey, c_name FROM customer)"
+add("join_inner_whole", lambda t: X.join(on(t).select("c_custkey", "o_orderkey"), t.customer.select("c_custkey", "c_name"), "c_custkey", "inner"), "SELECT c_custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+for how, word in (("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    add(f"join_{how}_whole", lambda t, how=how: X.join(far_o(t), far_c(t), "c_custkey", how), f"SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, o_orderkey, c_name FROM {FAR_O} a {word} {FAR_C} b ON a.c_custkey = b.c_custkey")
+add("join_semi_whole", lambda t: X.join(t.customer.select("c_custkey", "c_name"), far_o(t), "c_custkey", "semi"), f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT c_custkey FROM {FAR_O})")
+add("join_anti_whole", lambda t: X.join(t.customer.select("c_custkey", "c_name"), far_o(t), "c_custkey", "anti"), f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {FAR_O})")
 add("join_cross", lambda t: X.cross_join(t.region.select("r_name"), t.nation.select("n_name")), "SELECT r_name, n_name FROM region, nation")
 add("join_range", lambda t: X.range_join(t.customer.select("c_custkey", "c_acctbal"), t.nation.select("n_nationkey", (F.col("n_nationkey") * 400.0 - 500).alias("lo"), (F.col("n_nationkey") * 400.0).alias("hi")), "c_acctbal", "lo", "hi", 500.0).select("c_custkey", "n_nationkey"), "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_acctbal BETWEEN n_nationkey * 400.0 - 500 AND n_nationkey * 400.0")
 buy, view = (lambda t: t.events.where("event_id % 2 = 0").select("event_id", "user_id", "ts")), (lambda t: t.events.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value")))
