@@ -339,10 +339,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # both >= num/den of the union, as (num + den) * both >= num * (sizes)
         ok = (num + den) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))
         # rows that repeat an id bring a set twice, and then a link
-        links = cut(near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v")), "links")
-        if labels is None:
-            return components(links)
-        return labels if links.isEmpty() else components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        links = near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(ok).select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v"))
+        return components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
     def grown(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after all links among pairs that join two of them."""
