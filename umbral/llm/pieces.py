@@ -13,15 +13,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BACK, PLACE, STEP, mix
+from .common import BACK, PLACE, STEP, mix, tidy
 
 SPACE, FEED = 0x2581, 0x0A
 #: Stands for U+2581 in a text, which isn't a space there and so goes out as bytes.
 LITERAL = 0x110000
-SLOTS = 1 << 20
+#: Slots of the table of a trie's steps, as a power of two; raised for larger vocabularies.
+SLOTS = 18
 
 
 class Vocabulary:
@@ -50,28 +52,57 @@ class Vocabulary:
         self.weight[lexical] = -alpha * np.log((rank[lexical] + 1) * np.log(n + 1.0))
         self.byte_weight = -alpha * np.log(n * np.log(n + 1.0))
         self.longest = max(len(pieces[i]) for i in lexical.tolist())
-        keys = np.array([piece_hash(pieces[i]) for i in lexical.tolist()], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], lexical[order]
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two pieces have one hash")
-        self.hit = np.zeros(SLOTS, bool)
-        self.hit[(keys & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+        self.ids = lexical
+        self._plant([pieces[i] for i in lexical.tolist()], lexical.tolist())
         raw = [bytes([int(p[3:-1], 16)]) if byte[i] else b"" if special[i] else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.raw = raw
 
 
+    def _plant(self, pieces: list[str], ids: list[int]) -> None:
+        """A trie: states are numbered from the root, 0; `piece` has the piece that ends at a state, or -1."""
+        steps: dict[tuple[int, int], int] = {}
+        ends = {}
+        for p, i in zip(pieces, ids, strict=True):
+            state = 0
+            for c in p:
+                state = steps.setdefault((state, ord(c)), len(steps) + 1)
+            if ends.setdefault(state, i) != i:
+                raise ValueError("two pieces are equal")
+        self.piece = np.full(len(steps) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        self.bits = max(SLOTS, len(steps).bit_length() + 2)
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        keys = np.array([(s << 21) | c for s, c in steps], np.int64)
+        for k, z, at in zip(keys.tolist(), steps.values(), self._slot(keys).tolist(), strict=True):
+            while self.key[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.key[at], self.to[at] = k, z
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * STEP) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that the codes lead to, 0 where they lead nowhere."""
+        key = (state << 21) | code
+        at = self._slot(key)
+        held = self.key[at]
+        out = np.where(held == key, self.to[at], 0)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):  # slots that another step took
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.key[at[open_]]
+            hit = held == key[open_]
+            out[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+
 def _power(n: int, base) -> np.ndarray:
     p = np.full(n, base, np.uint64)
     p[:1] = 1
     return np.multiply.accumulate(p, out=p)
 
 
-def piece_hash(piece: str) -> int:
-    c = np.array([ord(x) for x in piece], np.uint64)
-    return int(mix((mix(c) * _power(len(c), STEP)).sum(keepdims=True) + np.array([len(c)], np.uint64) * PLACE[3])[0])
-
-
 def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of the texts in codes (code points, spaces as U+2581) and their offsets by row."""
     n, rows = len(codes), len(by_row) - 1
@@ -97,31 +128,32 @@ def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabular
     at = np.repeat(start[one] - head[:-1], size) + np.arange(m)
     local = np.arange(m) - np.repeat(head[:-1], size)
     left = np.repeat(size, size) - local
-    # edges
+    letters = codes[at].astype(np.int64)
+    del power, inverse, total, part, at
+    # edges: all places walk down the trie together
     starts, lengths, ids = [], [], []
     single = np.zeros(m, bool)
+    p, state = np.arange(m), np.zeros(m, np.int64)
     for length in range(1, v.longest + 1):
-        p = np.flatnonzero(left >= length)
+        state = v.step(state, letters[p + length - 1])
+        piece = v.piece[state]
+        ok = piece >= 0
+        starts.append(p[ok])
+        lengths.append(np.full(len(starts[-1]), length, np.int64))
+        ids.append(piece[ok])
+        if length == 1:
+            single[p[ok]] = True
+        on = (state > 0) & (left[p] > length)
+        p, state = p[on], state[on]
         if not len(p):
             break
-        a = at[p]
-        h = mix((total[a + length] - total[a]) * inverse[a] + np.array([length], np.uint64) * PLACE[3])
-        ok = v.hit[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-        p, h = p[ok], h[ok]
-        j = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-        ok = v.keys[j] == h
-        p, j = p[ok], j[ok]
-        if length == 1:
-            single[p] = True
-        starts.append(p)
-        lengths.append(np.full(len(p), length, np.int64))
-        ids.append(v.ids[j])
     lost = np.flatnonzero(~single)
-    lost_codes = codes[at[lost]].astype(np.int64)
     starts.append(lost)
     lengths.append(np.ones(len(lost), np.int64))
-    ids.append(-1 - lost_codes)
-    starts, lengths, ids = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
+    ids.append(-1 - letters[lost])
+    # longer ones first: those are drawn more often
+    starts, lengths, ids = (np.concatenate(x[::-1]) for x in (starts, lengths, ids))
+    del letters, left, single, p, state, piece
     weight = np.where(ids >= 0, v.weight[np.maximum(ids, 0)], v.byte_weight * utf8_length(-1 - ids))
     node = starts + lengths - 1
     order = np.argsort(node, kind="stable")
@@ -149,13 +181,13 @@ def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabular
         log_sum[x:y] = np.log(np.add.reduceat(np.exp(w - top[rank[a:b] - x]), group)) + top
         go = node_of[x:y] + 1
         alpha[go] = log_sum[x:y]
-    # backward: shares of a node's edges, summed up, all nodes one after another
+    # backward: shares of a node's edges, summed up
     share = np.exp(value - log_sum[rank])
     up = np.cumsum(share)
     up -= (up - share)[node_first][rank]
-    up = rank + np.minimum(up, 1.0)
     last = np.r_[node_first[1:], len(node)] - 1
-    up[last] = rank[last] + 1.0
+    up[last] = 2.0
+    del value, weight, share, order, alpha, inner, depth
     rank_of = np.zeros(m, np.int64)
     rank_of[node_of] = np.arange(len(node_of))
     row = np.searchsorted(by_row, start, side="right") - 1
@@ -168,8 +200,11 @@ def sample(codes: np.ndarray, by_row: np.ndarray, keys: np.ndarray, v: Vocabular
     step = 0
     while len(live):
         u = (mix(mix(base[live]) + np.array([step], np.uint64) * PLACE[7]) >> np.uint64(12)).astype(np.float64) * 2.0**-52
-        r = rank_of[now]
-        edge = np.minimum(np.searchsorted(up, r + u, side="right"), last[r])
+        edge = node_first[rank_of[now]]
+        more = np.flatnonzero(up[edge] <= u)
+        while len(more):
+            edge[more] += 1
+            more = more[up[edge[more]] <= u[more]]
         taken.append((live, edge))
         steps[live] += 1
         now = starts[edge] - 1
@@ -220,14 +255,14 @@ def _encode(vocabulary, seed: int, chars: int, proof: bool):
         v = vocabulary.value
         for b in batches:
             column, keys = b.column(2), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = [t or "" for t in column.to_pylist()]
+            sizes = [n or 0 for n in pc.utf8_length(column).to_pylist()]
             a = 0
-            while a < len(texts):
+            while a < len(sizes):
                 z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= chars):
-                    size += len(texts[z])
+                while z < len(sizes) and (z == a or size + sizes[z] <= chars):
+                    size += sizes[z]
                     z += 1
-                ids, by_row = sample(*code_points(texts[a:z]), keys[a:z], v, seed)
+                ids, by_row = sample(*code_points([t or "" for t in column[a:z].to_pylist()]), keys[a:z], v, seed)
                 cols = [b.column(0)[a:z], pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(np.diff(by_row))]
                 if proof:
                     back = [decode_ids(ids[by_row[i] : by_row[i + 1]].tolist(), v.raw).encode("utf-8", "surrogatepass") for i in range(z - a)]
@@ -249,7 +284,7 @@ def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", te
     """
     v = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, alpha))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode(v, seed, chars, proof), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_pieces long" + ", text_bytes long, text_sha256 string" * proof)
+    out = rows.mapInArrow(tidy(_encode(v, seed, chars, proof)), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_pieces long" + ", text_bytes long, text_sha256 string" * proof)
     return out.withColumnRenamed("id", id_col)
 
 
