@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import PLACE, cut, forget, mix, word_hashes
+from .common import PLACE, cut, forget, mix, release, tidy, word_hashes
 from .components import components
 
 #: Entries of the table of frequent hashes: 4 MB as broadcast, whatever the input.
 TABLE = 1 << 22
 #: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
 PARTS = 256
+#: Signatures that a task remembers, so as to describe equal sets once; then it forgets them. Sets that come twice do no harm.
+SEEN = 100_000
 
 
 def shingle_sets(column: pa.Array, k: int, rows: int = 500) -> list[np.ndarray]:
@@ -89,6 +91,8 @@ def _describe(k: int):
                 if g not in seen and len(s):
                     seen.add(g)
                     fresh.append(s)
+            if len(seen) > SEEN:
+                seen.clear()
             for i in range(0, len(fresh), 1000):
                 slots, n = np.unique(np.concatenate(fresh[i : i + 1000]) & np.uint64(TABLE - 1), return_counts=True)
                 counts[slots.astype(np.int64)] += n.astype(np.uint32)
@@ -126,6 +130,8 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
                 who.append(np.full(p, len(classes), np.int32))
                 place.append(np.arange(p, dtype=np.int32))
                 classes.append((*g, n))
+            if len(seen) > SEEN:
+                seen.clear()
             if not classes:
                 continue
             cols, who, place, classes = np.concatenate(cols), np.concatenate(who), np.concatenate(place), np.array(classes, np.int64)
@@ -263,6 +269,8 @@ def _sets(k: int):
             found = [(signature(s), s) for s in shingle_sets(b.column(1), k)]
             found = [found[i] for i in {g: i for i, (g, _) in enumerate(found) if g not in seen}.values()]
             seen.update(g for g, _ in found)
+            if len(seen) > SEEN:
+                seen.clear()
             sets = [s for _, s in found]
             counts = [planes(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS)) for s in sets]
             arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
@@ -296,7 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = cut(rows.mapInArrow(_describe(k), "id long, n long, c1 long, c2 long, slot long, df long"), "sets")
+    told = cut(rows.mapInArrow(tidy(_describe(k)), "id long, n long, c1 long, c2 long, slot long, df long"), "sets")
     own = told.where("slot is null").select("id", "n", "c1", "c2")
     slots = told.where("slot is not null").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()  # TABLE rows at most
     table = np.zeros(TABLE, np.uint8)
@@ -306,7 +314,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(own.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless")), "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     blocks = max(8, -(-int(entries) // block_entries))
-    product = cut(rows.mapInArrow(_blocks(k, num, den, blocks, frequent), BLOCK).groupBy("block").applyInArrow(_product(num, den, wide), PRODUCT), "product")
+    product = cut(rows.mapInArrow(tidy(_blocks(k, num, den, blocks, frequent)), BLOCK).groupBy("block").applyInArrow(_product(num, den, wide), PRODUCT), "product")
 
     pair = ["a1", "a2", "b1", "b2"]
     onward = Window.partitionBy("a1", "a2").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
@@ -351,11 +359,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some = rows.join(ids, "id", "left_semi")
         nameless = whole.where("rep is null").limit(1).count()
         some = some.unionByName(rows.where("id is null")) if nameless else some
-        sets = cut(some.mapInArrow(_sets(k), "c1 long, c2 long, counts binary, grams array<long>"), "grams")
+        sets = cut(some.mapInArrow(tidy(_sets(k)), "c1 long, c2 long, counts binary, grams array<long>"), "grams")
 
         a, b = sides("counts", sets)
         near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(*pair, "x", "y")
-        near = cut(near.mapInArrow(_within_reach(num, den), "a1 long, a2 long, b1 long, b2 long, most double"), "near")
+        near = cut(near.mapInArrow(tidy(_within_reach(num, den)), "a1 long, a2 long, b1 long, b2 long, most double"), "near")
         each = near.withColumn("node", F.explode(F.array(name("a1", "a2"), name("b1", "b2"))))
         best = each.groupBy("node").agg(F.max(F.struct("most", *pair)).alias("best")).select("best.*").select(*pair).distinct()
         labels = linked(cut(best, "best"), sets, labels)
