@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Components are clamped to +-2^LIMIT so that scores of up to 2^10 dimensions fit a long.
-LIMIT = 26
+from .common import cut, tidy
 
 
 def integers(column: pa.Array, scale: int) -> list[np.ndarray | None]:
@@ -26,7 +25,7 @@ def integers(column: pa.Array, scale: int) -> list[np.ndarray | None]:
     empty = values.is_null().to_numpy(zero_copy_only=False)
     flat = values.fill_null(0.0).to_numpy(zero_copy_only=False)
     with np.errstate(over="ignore", invalid="ignore"):
-        whole = np.clip(np.floor(flat * scale), -(2.0**LIMIT), 2.0**LIMIT)
+        whole = np.floor(flat * scale)
     bad = np.r_[0, np.cumsum(empty | ~np.isfinite(flat))]
     at, nulls = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
     return [None if nulls[i] or bad[at[i + 1]] > bad[at[i]] else whole[at[i] : at[i + 1]] for i in range(len(column))]
@@ -44,10 +43,21 @@ def levels(x: np.ndarray, segments: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of all rows as longs: by doubles where these are exact, else by longs."""
-    if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**52:
+    """Inner products of all rows as longs: by doubles where these are exact, else by longs, else by whole numbers of any size."""
+    if not (q.size and x.size):
+        return np.zeros((len(q), len(x)), np.int64)
+    high = np.abs(q).max() * np.abs(x).max(1) * q.shape[1]
+    if high.max() < 2**52:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    out = np.zeros((len(q), len(x)), np.int64)
+    out[:, high < 2**62] = q.astype(np.int64) @ x[high < 2**62].astype(np.int64).T if np.abs(q).max() < 2**62 else 0
+    whole = np.frompyfunc(int, 1, 1)
+    for j in np.flatnonzero((high >= 2**62) | (np.abs(q).max() >= 2**62)).tolist():
+        scores = whole(q) @ whole(x[j])
+        if max(map(abs, scores)) >= 2**63:
+            raise OverflowError("a score doesn't fit a long")
+        out[:, j] = scores.astype(np.int64)
+    return out
 
 
 class Best:
@@ -88,7 +98,7 @@ def search(q: np.ndarray, q_levels, q_ids: np.ndarray, x: np.ndarray, ids: np.nd
             for c in range(0, len(i), 1 << 16):
                 a, b = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
                 alive[a, b] = np.einsum("ij,ij->i", ql[a], xl[b]) + slack[a, b] >= best.floor[at[a]]
-    if alive.mean() > 0.2:
+    if alive.mean() > 0.2 and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] < 2**62:
         scores = exact(q, x)
         for i in range(len(q)):
             j = np.flatnonzero(alive[i])
@@ -141,18 +151,22 @@ def exact_top_k(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
 
     queries: a condition on the rows of vectors that picks the queries; a row is never its own answer. Components count
     as floor(scale * x). Vectors that are null, hold null or non-finite components, or have no id take no part, on
-    either side; vectors of different lengths don't meet; components beyond +-2^26 after scaling are clamped. If rows
+    either side; vectors of different lengths don't meet. Scores are exact at any size; one that is computed and doesn't
+    fit a long raises OverflowError. An empty table, or no query, gives an empty result; other columns are ignored. If rows
     repeat an id, each counts as a candidate, none as an answer to its own id, and the id is answered once, for its
     lexicographically smallest vector. Returns query_id, rank, vec_id, score; fewer than k where there are fewer rows.
-    Each wave of queries takes at most wave_bytes on the driver and as a broadcast.
+    Each wave of queries takes at most wave_bytes on the driver and as a broadcast; with more than one, each wave's best
+    rows are written before the next one starts.
     """
     spark = vectors.sparkSession
-    rows_ = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    chosen = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    chosen = chosen.groupBy("id").agg(F.min("v").alias("v"))
+    good = "id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    pair = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
+    rows_, chosen = vectors.select(*pair).where(good), vectors.where(queries).select(*pair).where(good)
+    chosen = cut(chosen.groupBy("id").agg(F.min("v").alias("v")), "queries")
     total = chosen.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
     waves = max(1, -(-2 * int(total) // wave_bytes)) if total > wave_bytes // 2 else 1
-    found = None
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = []
     for w in range(waves):
         mine = chosen.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w) if waves > 1 else chosen
         by_size: dict[int, tuple[list, list]] = {}
@@ -162,7 +176,10 @@ def exact_top_k(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
             one[0].append(i)
             one[1].append(v)
         wave = spark.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v).reshape(len(i), n)) for n, (i, v) in by_size.items()})
-        part = rows_.mapInArrow(_scan(wave, k, scale, segments, rows, block), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = rows_.mapInArrow(tidy(_scan(wave, k, scale, segments, rows, block)), "query_id long, vec_id long, score long")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if waves == 1:
+            return best
+        parts.append(cut(best, "wave")._scratch)
+        wave.destroy()
+    return spark.read.schema(best.schema).parquet(*parts)
