@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, tidy
 
 #: Hashed features.
 SIZE = 1 << 16
@@ -108,24 +110,32 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 2000) -> Model:
-    """Learns from all rows of docs with a language. Frequencies count every row; the regression takes at most about
-    per_language rows a language, picked by a hash of the key, every fifth of them for the temperature alone."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key_col), F.lit(1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 2000, languages: int = 256) -> Model:
+    """Learns from all rows of docs with a language. Frequencies count every row; the regression takes exactly the
+    per_language rows of each language whose key and text hash lowest (all, if fewer), every fifth of them for the
+    temperature alone. That sample goes to the driver, and weights of 65,536 features a language to every worker: over
+    `languages` languages it raises ValueError.
+
+    Rows without a language teach nothing; null and empty texts count as texts of one space, and keys may repeat or be
+    null. Rows that repeat a key and a text tie, and any of them stands for the others. With no row at all the model
+    knows no language and predicts `und`; with one language it always predicts that. Other columns are ignored."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"there are more than {languages} languages")
     if not sizes:
         return Model([], np.zeros(SIZE), np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     langs = sorted(sizes)
-    found = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # SIZE + 1 rows at most
+    found = rows.select("text").mapInArrow(tidy(_frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # SIZE + 1 rows at most
     found = found.set_index("feature")["n"]
     df = np.zeros(SIZE)
     total = int(found.get(-1, 0))
     found = found[found.index >= 0]
     df[found.index.to_numpy()] = found.to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    bound = F.create_map(*[x for n in langs for x in (F.lit(n), F.lit(min(1 << 30, (1 << 30) * per_language // sizes[n])))])
-    picked = cut(rows.where(F.col("h") < F.element_at(bound, F.col("lang"))).select("lang", "h", "text").mapInArrow(_features, "lang string, h long, at binary, n binary"), "sample")
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks keep their own lowest rows before they shuffle
+    picked = rows.withColumn("nth", lowest).where(F.col("nth") <= per_language).select("lang", "h", "text")
+    picked = cut(picked.mapInArrow(_features, "lang string, h long, at binary, n binary"), "sample")
     fit, rest, y_fit, y_rest = [], [], [], []
     of = {n: i for i, n in enumerate(langs)}
     for r in picked.orderBy("h", "lang", "at").toLocalIterator():
@@ -143,9 +153,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
     """docs with the predicted language and its calibrated probability (0 to 1) in two more columns.
 
     Every whole text is read; a null text or one without a letter is `und`, with 0. With `least`, rows that are `und`
-    or score less go, and no column is added. Rows are otherwise kept as they are, whatever their other columns.
+    or score less go, and no column is added. Otherwise rows are kept as they are, with their other columns, of which
+    those named as the two new ones are replaced. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    new = [] if least is not None else [lang_as.lower(), score_as.lower()]
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in new]
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -153,11 +166,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
         for b in batches:
             found = [m.predict(t) for t in b.column(at).to_pylist()]
             if least is None:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, lang_as, score_as])
+                arrays = [*(b.column(i) for i in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*(b.schema.names[i] for i in kept), lang_as, score_as])
             else:
                 yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    fields = [*docs.schema.fields] + ([StructField(lang_as, StringType()), StructField(score_as, DoubleType())] if least is None else [])
-    return docs.mapInArrow(run, StructType(fields))
+    fields = [docs.schema.fields[i] for i in kept] + ([StructField(lang_as, StringType()), StructField(score_as, DoubleType())] if least is None else [])
+    return docs.mapInArrow(tidy(run), StructType(fields))
