@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Phrases that must stand word by word.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 #: Longer templates of our own, found also when some words differ.
@@ -48,7 +50,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last_word (places of phrases), base_labels, labels (phrases' and templates'), score (the largest share of a
     template's grams that one span holds, 1 for a phrase). spans: id, label, exact, first, last (words), score.
     Null or empty texts have no words, empty labels and score 0. Rows that repeat an id and its text count once in
-    spans and are each returned; null ids are kept. Every occurrence counts; no text is cut.
+    spans and are each returned; null ids are kept; other columns are ignored; an empty table gives empty results.
+    Every occurrence counts; no text is cut. A template's span is at most 2 * slack words longer than the template:
+    a chain of neighbouring diagonals that reaches further is no copy of it.
     """
     spark = docs.sparkSession
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
@@ -63,6 +67,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same &= F.col(f"w{i}") == F.col(f"g{i}")
     votes = laid.join(F.broadcast(table), "gram").where(same)  # the templates are a fixed table of a few hundred rows
     votes = votes.select("id", "text_key", "label", "exact", "grams", "t", "p", (F.col("p") - F.col("t")).alias("diagonal")).distinct()
+    votes = cut(votes, "votes")  # phrases and templates both read them: the texts are split and hashed once
     by = ["id", "text_key", "label", "exact", "grams"]
     diagonals = votes.groupBy(*by, "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
     # a phrase needs every gram on one diagonal
