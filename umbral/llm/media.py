@@ -19,14 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, tidy
 
 WIDTH = 192
 #: Bytes of a PNG up to the end of its header chunk.
 HEADER = 33
+#: Stored bytes that a reading task gets.
+READ = 8 << 20
 ROWS = "id {id}, digest string, n_bytes long, shard string, offset long, length long"
 META = "width int, height int, bit_depth int"
 
@@ -80,7 +82,25 @@ def feature(payload: bytes) -> str:
 
 
 def _open(folder: str):
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(folder)
+
+
+def _named(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark gives it: executors write where rows are written. Raises if pyarrow can't open it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    full = f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+    try:
+        _open(full)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"media can't be stored under {full}: {e}") from e
+    return full
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows in runs of their stored bytes, READ each; many rows of one content are split by their ids."""
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    return rows.repartitionByRange(max(1, -(-int(total) // READ)), "shard", "offset", "id")
 
 
 def _store(folder: str):
@@ -131,9 +151,9 @@ def store_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     written twice for one row; a task that is run again writes a new shard and its rows name only that.
     """
     spark = docs.sparkSession
-    folder = folder or scratch(spark, "media")
+    folder = _named(spark, folder or scratch(spark, "media"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_store(f"{folder}/tar"), ROWS.format(id=kind))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_store(f"{folder}/tar")), ROWS.format(id=kind))
     rows.write.parquet(f"{folder}/rows")
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows"), folder
 
@@ -157,10 +177,9 @@ def _read(folder: str, whole: bool):
                             files = {names[i]: where.open_input_file(f"{path}/{names[i]}")}
                         f = files[names[i]]
                         f.seek(offsets[i])
-                        values = header(f.read(HEADER))
+                        media = f.read(lengths[i] if whole else HEADER)
+                        values = header(media[:HEADER])
                         if whole:
-                            f.seek(offsets[i])
-                            media = f.read(lengths[i])
                             payload = decode(media)
                             values = (*values, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
                         last = at, values
@@ -178,15 +197,16 @@ def _read(folder: str, whole: bool):
 
 
 def media_metadata(rows: DataFrame, folder: str) -> DataFrame:
-    """rows with width, height and bit_depth, from reads of HEADER bytes each."""
+    """rows with width, height and bit_depth, from reads of HEADER bytes each. A row with a null shard raises, as rows of another store do."""
     schema = ROWS.format(id=rows.schema["id"].dataType.simpleString())
-    return rows.mapInArrow(_read(folder, False), f"{schema}, {META}")
+    return _spread(rows).mapInArrow(tidy(_read(folder, False)), f"{schema}, {META}")
 
 
 def media_features(rows: DataFrame, folder: str) -> DataFrame:
     """rows with metadata (kept where media_metadata has filled them) and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32 (of the last 16), media_bytes, media_sha256, feature. Damaged bytes raise."""
     schema = f"{ROWS.format(id=rows.schema['id'].dataType.simpleString())}, {META}"
-    return rows.mapInArrow(_read(folder, True), f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = rows if "width" in rows.columns else _spread(rows)
+    return rows.mapInArrow(tidy(_read(folder, True)), f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def open_shard(folder: str, shard: str) -> tarfile.TarFile:
