@@ -37,12 +37,14 @@ def _admit(df: DataFrame, shards: int, rows: int) -> DataFrame:
     return stay.drop("rank", "limit", "want").unionByName(over.withColumn("shard", shard).drop("rank", "limit", "want"))
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 2) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 12) -> DataFrame:
     """Puts documents into shards 0 to shards - 1, equal texts together as far as equal counts allow.
 
     Law `rows`: counts differ by one at most. Returns id, size (UTF-8 bytes of the text, none for null, plus 1),
     text_crc32 (unsigned), law, shard, slot (0, 1, ... within the shard), grown_shard (null under this law). A null text
     equals an empty one. Rows that repeat an id and a text are ordinary members of their group; rows may have null ids.
+    Propagation goes on while linked documents outside their group's largest shard get fewer, and for `rounds` rounds
+    at most; the assignment with the fewest is returned.
     Fewer rows than shards leave the last ones empty; an empty table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -56,10 +58,19 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     df = df.withColumn("bucket", _bucket(F.coalesce("members", F.lit(0)) > half))
     df = df.withColumn("want", F.pmod(F.crc32("name"), F.lit(shards)).cast("int"))
     df = cut(_admit(df, shards, n), "shards")
+    before, least = df, None
     for _ in range(rounds):
         votes = df.where("linked").groupBy(*GROUP, "shard").agg(F.count("*").alias("votes"))
-        best = cut(votes.groupBy(*GROUP).agg(F.max(F.struct("votes", -F.col("shard"))).alias("best")).select(*GROUP, (-F.col("best")["col2"]).alias("to")), "votes")
-        moved = df.join(best, GROUP, "left")
+        best = votes.groupBy(*GROUP).agg(F.max(F.struct("votes", -F.col("shard"))).alias("best"), F.sum("votes").alias("all"))
+        best = cut(best.select(*GROUP, (-F.col("best")["col2"]).alias("to"), (F.col("all") - F.col("best")["votes"]).alias("apart")), "votes")
+        apart = best.agg(F.sum("apart")).first()[0] or 0
+        if least is not None and apart >= least:
+            df = before if apart > least else df
+            break
+        before, least = df, apart
+        if not apart:
+            break
+        moved = df.join(best.drop("apart"), GROUP, "left")
         spread = F.pmod(F.crc32("name"), F.ceil(F.col("members") / F.lit(half)))
         to = F.when(F.col("members") > half, F.pmod(F.col("to") + spread, F.lit(shards))).otherwise(F.col("to"))
         moved = moved.withColumn("want", F.coalesce(to, F.col("shard")).cast("int")).drop("to", "shard")
