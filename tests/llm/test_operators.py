@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from umbral.llm import edits, jaccard, langid, licenses, lm, media, mixing, pieces, queries, sharding, topk
+from umbral.llm import components, edits, jaccard, langid, licenses, lm, media, mixing, pieces, queries, sharding, topk
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -98,6 +98,38 @@ def test_top_k_in_few_rows(spark, n, parts):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_scores_are_exact(spark):
+    rows = [(1, [100000.0, 1.0, 0.5]), (2, [100000.0, 1.0, 0.25]), (3, [2.0**25, -3.0, 1.0]), (4, [-7.0, 2.0**20 + 0.5, 0.0]), (5, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = {(q, r + 1, i, -x) for q, v in whole.items() for r, (x, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole.items() if i != q))}
+    for parts in (1, 5):
+        assert {tuple(r) for r in topk.exact_top_k(df.repartition(parts), F.lit(True)).collect()} == want
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.exact_top_k(spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+@pytest.mark.parametrize("few", [1 << 18, 20, 0])
+def test_components(spark, few):
+    rng = np.random.default_rng(few + 1)
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(300, 400, (60, 2))] + [(7, 7), (8, 9), (9, 8)]
+    up = {}
+
+    def top(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            up[top(a)] = top(b)
+    got = components.components(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links], "u string, v string").repartition(6), few=few).collect()
+    assert len(got) == len(up) and {r["node"] for r in got} == {f"n{i}" for i in up}
+    of = {r["node"]: r["label"] for r in got}
+    assert {(top(i), of[f"n{i}"]) for i in up} == {(t, of[f"n{t}"]) for t in {top(i) for i in up}} and len(set(of.values())) == len({top(i) for i in up})
+    assert components.components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+
+
 @pytest.mark.parametrize("wide", [32, 2])
 def test_jaccard(odd, docs, wide):
     for rows, df in zip(*both(odd, docs), strict=True):
@@ -292,7 +324,7 @@ def test_pieces(odd, docs):
         key = lambda r: (str(r["doc_id"]), r["ids"])
         again = pieces.sentencepiece_encode(df.repartition(7), queries.PIECE_MODEL, seed=3, chars=5000).collect()
         assert sorted(map(key, got)) == sorted(map(key, again))
-        back = pieces.sentencepiece_decode(a, queries.PIECE_MODEL).select("doc_id", "text").collect()
+        back = pieces.sentencepiece_decode(a.withColumn("Text", F.lit(0)), queries.PIECE_MODEL).select("doc_id", "text").collect()
         assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r["doc_id"], r["text"] or "") for r in rows)
     assert pieces.sentencepiece_encode(docs, queries.PIECE_MODEL, seed=4).select("ids").collect() != pieces.sentencepiece_encode(docs, queries.PIECE_MODEL, seed=3).select("ids").collect()
 
@@ -328,6 +360,61 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(None if i % 2 else 5, f"words number {i % 50} here", "en" if i % 10 else "fr") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit, langid.ftrl = langid.ftrl, lambda r, y, n, fit=langid.ftrl: (seen.append(len(r)), fit(r, y, n))[1]
+    try:
+        langid.train(df, per_language=100)
+    finally:
+        langid.ftrl = fit
+    assert seen == [160]  # of 200, every fifth goes to the temperature
+    with pytest.raises(ValueError, match="more than 1"):
+        langid.train(df, languages=1)
+
+
+def test_language_replaces_columns_of_its_names(spark, odd):
+    model = langid.train(spark.createDataFrame([(1, "one two", "en"), (2, "un deux", "fr")], "doc_id long, text string, lang string"))
+    named = odd.withColumn("Score", F.lit("x")).withColumn("lang_pred", F.lit(3))
+    got = langid.predict(named, model)
+    assert [c for c in got.columns if c.lower() in ("score", "lang_pred")] == ["lang_pred", "score"] and got.select("score").count() == odd.count()
+
+
+def test_ftrl_against_plain_python():
+    rng = np.random.default_rng(11)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6)) for _ in range(60)]
+    labels, rate, beta, l1, l2 = rng.integers(0, 3, 60), 1.0, 1.0, 0.05, 1e-3
+    got, bias = langid.ftrl(rows, labels, 3, rate, beta, l1, l2, epochs=2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        return 0.0 if abs(z[i, c]) <= l1 else (math.copysign(l1, z[i, c]) - z[i, c]) / ((beta + math.sqrt(n[i, c])) / rate + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for r in order.permutation(60).tolist():
+            feats = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), (langid.SIZE, 1.0)]
+            logit = [sum(weight(i, c) * x for i, x in feats) for c in range(3)]
+            total = sum(math.exp(v) for v in logit)
+            now = {(i, c): weight(i, c) for i, _ in feats for c in range(3)}
+            for i, x in feats:
+                for c in range(3):
+                    g = (math.exp(logit[c]) / total - (labels[r] == c)) * x
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / rate
+                    z[i, c] += g - sigma * now[i, c]
+                    n[i, c] += g * g
+    assert np.allclose([[weight(i, c) for c in range(3)] for i in range(40)], got[:40], atol=1e-5) and np.allclose([weight(langid.SIZE, c) for c in range(3)], bias, atol=1e-5)
+    assert not got[40:].any() and (got[:40] == 0).any()
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(12)
+    logits, labels = rng.normal(size=(300, 4)) * 5, rng.integers(0, 4, 300)
+    loss = lambda t: -sum((z[y] - max(z)) / t - math.log(sum(math.exp((v - max(z)) / t) for v in z)) for z, y in zip(logits.tolist(), labels.tolist(), strict=True))
+    assert loss(langid.fit_temperature(logits, labels)) <= min(loss(2.0 ** (k / 8)) for k in range(-48, 33)) + 1e-9
+
+
 def test_edit_counts(odd, docs):
     ranks = edits.load_ranks(queries.BPE_RANKS)
     counter = edits.Counter(ranks)

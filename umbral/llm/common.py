@@ -26,9 +26,11 @@ CHUNK = 1 << 20
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """A fresh path in the folder that spark.checkpoint.dir names; one of our own only where it is unset and Spark runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
         top = "/tmp/umbral-checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/umbral/{what}-{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import BACK, PLACE, STEP, mix, tidy
 
@@ -289,9 +290,12 @@ def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", te
 
 
 def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """encoded with the text of each list of pieces, in out_col; of no pieces it is empty, of null it is null."""
+    """encoded with the text of each list of pieces, in out_col; of no pieces it is empty, of null it is null.
+
+    A column that has out_col's name already is replaced; an empty table gives an empty one."""
     raw = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model).raw)
     at = encoded.columns.index(ids_col)
+    kept = [i for i, c in enumerate(encoded.columns) if c.lower() != out_col.lower()]
 
     def run(batches):
         for b in batches:
@@ -299,8 +303,6 @@ def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", o
             flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
             null = column.is_null().to_pylist()
             texts = [None if null[i] else decode_ids(flat[cuts[i] : cuts[i + 1]].tolist(), raw.value) for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(texts, pa.string())], names=[*(b.schema.names[i] for i in kept), out_col])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
+    return encoded.mapInArrow(tidy(run), StructType([*(encoded.schema.fields[i] for i in kept), StructField(out_col, StringType())]))
