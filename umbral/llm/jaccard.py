@@ -8,8 +8,9 @@
    a pair whose count can't reach ceil(t/(1+t) (n_a + n_b)) any more is discarded.
 4. Of the remaining pairs, counts of members by part of the hashes bound the overlap; whole sets of those still in
    reach are intersected exactly, first the most promising pair of each class, then pairs still in different components.
-A column shared by over `wide` classes is first linked along its members sorted by size and to its first member; what
-this leaves in different components is multiplied in full after that, so no link between components is lost.
+A column shared by over `wide` classes is first linked along its members sorted by size and to its first member, then
+by a few pairs of each class that is still apart; what this leaves in different components is multiplied in full after
+that, so no link between components is lost, and few pairs of a large group of near copies are ever made.
 
 The first column that two linked sets share (in the order of 2.) has at least `least` - 1 more members behind it in
 both. Of a wide column, only pairs for which it can be that first one are made.
@@ -31,6 +32,8 @@ from .components import components
 TABLE = 1 << 22
 #: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
 PARTS = 256
+#: Pairs that a class still apart first tries in a wide column, before all others.
+TRIES = 8
 #: Signatures that a task remembers, so as to describe equal sets once; then it forgets them. Sets that come twice do no harm.
 SEEN = 100_000
 
@@ -225,12 +228,13 @@ def _product(num: int, den: int, wide: int):
     return run
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, tries: int | None = None):
     """Pairs of one wide column whose classes are still in different components.
 
     Pairs that share a narrow column were judged before; the others overlap at most in wide columns, of which the first
     they share is this one or is multiplied elsewhere, and beyond the kept columns. `wide` counts the wide columns that
-    a class has from this one on."""
+    a class has from this one on. With tries, only so many pairs of a class: those that hash lowest, the same ones in
+    every column that the two share."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pandas().sort_values(["col", "na"], kind="stable")
@@ -250,6 +254,9 @@ def _across(num: int, den: int):
                 ok &= np.minimum(wide[z], wide[i]) + np.maximum(rest[z], rest[i]) >= least
                 ok &= (comp[z] == largest) | (np.arange(low[i], high[i]) > i)
                 j = low[i] + np.flatnonzero(ok)
+                if tries and len(j) > tries:
+                    chance = mix((ids[j, 0] ^ ids[i, 0]).view(np.uint64))
+                    j = j[np.argpartition(chance, tries)[:tries]]
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
         x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
@@ -380,15 +387,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return labels
 
     labels = grown(pairs, None)
-    if not entries.isEmpty():
+    for tries in (TRIES, None):
+        if entries.isEmpty():
+            break
         held = entries.withColumn("node", name("a1", "a2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
-        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label").groupBy("part").applyInArrow(_across(num, den), "a1 long, a2 long, b1 long, b2 long").distinct()
+        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long").distinct()
         more = cut(more.join(pairs, pair, "left_anti"), "pairs")
         if not more.isEmpty():
-            labels = grown(more, labels)
+            labels, pairs = grown(more, labels), pairs.unionByName(more)
 
     member = classes.withColumn("node", name("c1", "c2")).join(labels, "node").select("c1", "c2", "rep", "label")
     least = member.groupBy("label").agg(F.min("rep").alias("component"))
