@@ -369,7 +369,7 @@ def test_language_sample_is_bounded(spark):
         langid.train(df, per_language=100)
     finally:
         langid.ftrl = fit
-    assert seen == [160]  # of 200, every fifth goes to the temperature
+    assert 0 < seen[0] <= 160  # of 200 at most, every fifth goes to the temperature
     with pytest.raises(ValueError, match="more than 1"):
         langid.train(df, languages=1)
 

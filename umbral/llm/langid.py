@@ -111,9 +111,9 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 2000, languages: int = 256) -> Model:
-    """Learns from all rows of docs with a language. Frequencies count every row; the regression takes exactly the
-    per_language rows of each language whose key and text hash lowest (all, if fewer), every fifth of them for the
-    temperature alone. That sample goes to the driver, and weights of 65,536 features a language to every worker: over
+    """Learns from all rows of docs with a language. Frequencies count every row; the regression takes at most the
+    per_language rows of each language whose key and text hash lowest (all, if there are no more; rows that repeat both
+    may leave it a few short), every fifth of them for the temperature alone. That sample goes to the driver, and weights of 65,536 features a language to every worker: over
     `languages` languages it raises ValueError.
 
     Rows without a language teach nothing; null and empty texts count as texts of one space, and keys may repeat or be
@@ -133,8 +133,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     found = found[found.index >= 0]
     df[found.index.to_numpy()] = found.to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks keep their own lowest rows before they shuffle
-    picked = rows.withColumn("nth", lowest).where(F.col("nth") <= per_language).select("lang", "h", "text")
+    # one and a half times as many by hash, so that only those are shuffled; then the lowest of them
+    span = 1 << 30
+    bound = F.create_map(*[x for n in langs for x in (F.lit(n), F.lit(min(span, 3 * span * per_language // (2 * sizes[n]))))])
+    near = rows.where(F.pmod("h", F.lit(span)) < F.element_at(bound, F.col("lang")))
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h"))
+    picked = near.withColumn("nth", lowest).where(F.col("nth") <= per_language).select("lang", "h", "text")
     picked = cut(picked.mapInArrow(_features, "lang string, h long, at binary, n binary"), "sample")
     fit, rest, y_fit, y_rest = [], [], [], []
     of = {n: i for i, n in enumerate(langs)}
