@@ -34,6 +34,8 @@ TABLE = 1 << 22
 PARTS = 256
 #: Pairs that a class still apart first tries in a wide column, before all others.
 TRIES = 8
+#: Parts of a sketch, the same counts in short numbers, by which pairs of a wide column are bounded before they are made.
+SKETCH, FULL = 128, 65535
 #: Signatures that a task remembers, so as to describe equal sets once; then it forgets them. Sets that come twice do no harm.
 SEEN = 100_000
 
@@ -82,6 +84,15 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    n = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.minimum(n, FULL).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unsketch(column) -> np.ndarray:
+    return np.array([np.frombuffer(b, np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1) for b in column], np.int32).reshape(-1, SKETCH)
+
+
 def _describe(k: int):
     def run(batches):
         counts, seen = np.zeros(TABLE, np.uint32), set()
@@ -102,12 +113,12 @@ def _describe(k: int):
                 total += int(n.sum())
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in signs], pa.int64()), pa.array([g[1] for g in signs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "n", "c1", "c2", "slot", "df"]
+                [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in signs], pa.int64()), pa.array([g[1] for g in signs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "n", "c1", "c2", "slot", "df", "sketch"]
             )
         mean = total / TABLE
         hot = np.flatnonzero(counts >= max(8, mean + 8 * mean**0.5))
         n = len(hot)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array(hot, pa.int64()), pa.array(counts[hot].astype(np.int64))], names=["id", "n", "c1", "c2", "slot", "df"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array(hot, pa.int64()), pa.array(counts[hot].astype(np.int64)), pa.nulls(n, pa.binary())], names=["id", "n", "c1", "c2", "slot", "df", "sketch"])
 
     return run
 
@@ -233,8 +244,8 @@ def _across(num: int, den: int, tries: int | None = None):
 
     Pairs that share a narrow column were judged before; the others overlap at most in wide columns, of which the first
     they share is this one or is multiplied elsewhere, and beyond the kept columns. `wide` counts the wide columns that
-    a class has from this one on. With tries, only so many pairs of a class: those that hash lowest, the same ones in
-    every column that the two share."""
+    a class has from this one on. Counts by part of the hashes bound an overlap by the sum of the smaller ones, as long
+    as none is FULL. With tries, only so many pairs of a class, those with the largest bounds."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pandas().sort_values(["col", "na"], kind="stable")
@@ -244,7 +255,8 @@ def _across(num: int, den: int, tries: int | None = None):
             if comp.max(initial=0) == 0:
                 continue
             n, place, wide, ids = g["na"].to_numpy(), g["place"].to_numpy(), g["wide"].to_numpy(), g[["a1", "a2"]].to_numpy()
-            rest = _needed(num, den, n) - 1
+            rest, parts = _needed(num, den, n) - 1, unsketch(g["sketch"])
+            full = (parts == FULL).any(1)
             largest = np.bincount(comp).argmax()
             low, high = np.searchsorted(n, _needed(num, den, n)), np.searchsorted(n, n * den // num, "right")
             for i in np.flatnonzero(comp != largest).tolist():
@@ -254,9 +266,11 @@ def _across(num: int, den: int, tries: int | None = None):
                 ok &= np.minimum(wide[z], wide[i]) + np.maximum(rest[z], rest[i]) >= least
                 ok &= (comp[z] == largest) | (np.arange(low[i], high[i]) > i)
                 j = low[i] + np.flatnonzero(ok)
+                most = np.concatenate([np.minimum(parts[j[c : c + 4096]], parts[i]).sum(1) for c in range(0, len(j), 4096)]) if len(j) else j
+                in_reach = ((num + den) * most >= num * (n[j] + n[i])) | full[j] | full[i]
+                j, most = j[in_reach], most[in_reach]
                 if tries and len(j) > tries:
-                    chance = mix((ids[j, 0] ^ ids[i, 0]).view(np.uint64))
-                    j = j[np.argpartition(chance, tries)[:tries]]
+                    j = j[np.argpartition(-most / (n[j] + n[i]), tries)[:tries]]
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
         x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
@@ -311,7 +325,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = cut(rows.mapInArrow(tidy(_describe(k)), "id long, n long, c1 long, c2 long, slot long, df long"), "sets")
+    told = cut(rows.mapInArrow(tidy(_describe(k)), "id long, n long, c1 long, c2 long, slot long, df long, sketch binary"), "sets")
     own = told.where("slot is null").select("id", "n", "c1", "c2")
     slots = told.where("slot is not null").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()  # TABLE rows at most
     table = np.zeros(TABLE, np.uint8)
@@ -387,6 +401,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return labels
 
     labels = grown(pairs, None)
+    if not entries.isEmpty():
+        mine = entries.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).distinct()
+        sketches = told.select("c1", "c2", "sketch").join(mine, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"])
+        sketches = cut(sketches.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), "sketch"), "sketches")
     for tries in (TRIES, None):
         if entries.isEmpty():
             break
@@ -394,7 +412,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
-        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long").distinct()
+        held = held.join(sketches, ["a1", "a2"])
+        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label", "sketch").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long").distinct()
         more = cut(more.join(pairs, pair, "left_anti"), "pairs")
         if not more.isEmpty():
             labels, pairs = grown(more, labels), pairs.unionByName(more)
