@@ -274,7 +274,7 @@ def _encode(vocabulary, seed: int, chars: int, proof: bool):
     return run
 
 
-def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0, proof: bool = False, chars: int = 150_000) -> DataFrame:
+def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0, proof: bool = False, chars: int = 60_000) -> DataFrame:
     """A sampled segmentation of each whole text: id, ids (piece ids), n_pieces.
 
     Segmentations are drawn with the product of their pieces' weights, to the power alpha, from the row's id and seed:
