@@ -232,3 +232,27 @@ def test_whole_joins_take_every_row(spark):
     out = run("outer")
     assert out.select("o_orderkey").distinct().count() == orders.count() + 1 and out.select("c_name").distinct().count() == customer.count() + 1
     assert run("semi").count() + run("anti").count() == customer.count()
+
+
+def test_sealed_keeps_microseconds_and_splits_ties(spark, tmp_path):
+    from umbral.sources import sealed
+
+    df = spark.range(3000).selectExpr(
+        "id", "1 as k", "timestamp_micros(1700000000123456 + id * 1001) as t", "cast(timestamp_micros(1600000000000001 + id) as timestamp_ntz) as z", "date_add(date'1999-12-31', cast(id as int)) as d",
+        "cast(id / 7 as decimal(20,6)) as m", "cast(id as float) / 3 as f", "if(id % 5 = 0, null, id % 2 = 0) as b", "array(id, null) as a", "named_struct('t', timestamp_micros(id)) as s", "encode(cast(id as string), 'UTF-8') as raw",
+    )
+    sealed.write(df, str(tmp_path / "x"), "a key that is long enough for this", chunk_rows=500, order_by=["k"])
+    back = sealed.read(spark, str(tmp_path / "x"), "a key that is long enough for this")
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    sizes = [r["n_rows"] for r in spark.read.parquet(str(tmp_path / "x" / "chunks")).select("n_rows").collect()]
+    assert len(sizes) >= 5 and max(sizes) < 1500
+
+
+def test_psi_of_no_values_is_null(spark):
+    from umbral.operators import metrics
+
+    none = spark.createDataFrame([(None,)], "v double")
+    for empty in (none, none.limit(0)):
+        assert metrics.psi_equal_width(empty, empty, "v").first()["psi"] is None
+        assert metrics.psi_quantile(empty, empty, "v").first()["psi"] is None

@@ -127,18 +127,27 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("double").alias("v"))
 
 
+def _no_psi(a: DataFrame) -> DataFrame:
+    return a.sparkSession.range(1).select(F.lit(None).cast("double").alias("psi"))
+
+
 def psi_equal_width(a: DataFrame, b: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index over equal bins of the common range."""
+    """Population stability index over equal bins of the common range; null if neither side has a value."""
     x, y = _values(a, column), _values(b, column)
     low, high = x.unionByName(y).agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return _no_psi(a)
     edges = [low + (high - low) * i / bins for i in range(bins + 1)]
     return _bins(x, y, edges, 1e-6).agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
 
 
 def psi_quantile(a: DataFrame, b: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index over quantile bins of the first side."""
+    """Population stability index over quantile bins of the first side; null if that has no value."""
     x, y = _values(a, column), _values(b, column)
-    edges = sorted(set(x.agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]))
+    found = x.agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]
+    if found is None:
+        return _no_psi(a)
+    edges = sorted(set(found))
     return _bins(x, y, edges, 1e-3).agg(F.abs(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))).alias("psi"))
 
 

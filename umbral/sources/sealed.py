@@ -73,8 +73,13 @@ def _keys(key: str | bytes, salt: bytes, level: str = "") -> tuple[bytes, bytes]
     return hkdf(raw, salt, b"data:" + level.encode()), hkdf(raw, salt, b"sign")
 
 
+#: Timestamps keep their microseconds in chunks.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write(df: DataFrame, path: str, key: str | bytes | None = None, *, raw: bool = False, chunk_rows: int = 50_000, order_by: list[str] | None = None, label: str = "", metadata: dict | None = None, expires_at: str | None = None, overwrite: bool = False, level: str = "", content: str = "table") -> None:
     """Writes df; rows go into chunks of about chunk_rows by order_by (range-partitioned), which makes statistics sharp.
+    Rows that tie in order_by are spread over as many chunks as they need.
 
     raw content keeps no statistics. Without a key the dataset is only signed (open variant)."""
     spark = df.sparkSession
@@ -84,12 +89,12 @@ def write(df: DataFrame, path: str, key: str | bytes | None = None, *, raw: bool
     data_key, sign_key = _keys(key, salt, level) if key is not None else (None, b"open")
     n = df.count()
     chunks = max(1, -(-n // chunk_rows))
-    ordered = df.repartitionByRange(chunks, *order_by) if order_by else df.repartition(chunks)
+    ordered = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(chunks, *order_by, "__tie").drop("__tie") if order_by else df.repartition(chunks)
     held = [] if raw else [f.name for f in df.schema.fields if isinstance(f.dataType, ORDERED)]
     stats = F.struct(*[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls")).alias(c) for c in held]) if held else F.lit(None).cast("struct<none:int>")
-    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", **TIMES})
     rows = ordered.withColumn("__chunk", F.spark_partition_id())
-    out = rows.groupBy("__chunk").agg(F.count("*").alias("n_rows"), stats.alias("stats"), F.to_json(F.collect_list(body)).alias("__body"))  # a chunk is chunk_rows by construction
+    out = rows.groupBy("__chunk").agg(F.count("*").alias("n_rows"), stats.alias("stats"), F.to_json(F.collect_list(body)).alias("__body"))
     payload = F.encode("__body", "UTF-8")
     if data_key is not None:
         aad = F.concat(F.lit(ident + ":"), F.col("__chunk").cast("string"))
@@ -159,7 +164,7 @@ def read(spark: SparkSession, path: str, key: str | bytes | None = None, *, colu
     needed = set(schema.names) if columns is None else set(columns) | {c for c, _, _ in wanted}
     part = T.StructType([f for f in schema.fields if f.name in needed])
     lines = chunks.select(F.explode(F.from_json(F.decode(payload, "UTF-8"), T.ArrayType(T.StringType()))).alias("line"))
-    out = lines.select(F.from_json("line", part).alias("r")).select("r.*").where(from_normalized(wanted))
+    out = lines.select(F.from_json("line", part, TIMES).alias("r")).select("r.*").where(from_normalized(wanted))
     return out.select(*columns) if columns is not None else out
 
 
