@@ -365,6 +365,23 @@ KEYS = ["l_orderkey", "l_linenumber"]
 add("partial_head", lambda t: files.read_partial(t.spark, lp(t), head=10, order_by=KEYS).select(*KEYS), "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2 LIMIT 10")
 add("partial_tail", lambda t: files.read_partial(t.spark, lp(t), tail=10, order_by=KEYS).select(*KEYS), "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1 DESC, 2 DESC LIMIT 10")
 add("partial_chunks", lambda t: X.concat([files.read_partial(t.spark, lp(t), chunks=[c], n_chunks=4, columns=KEYS) for c in (1, 2, 3, 4)]), "SELECT l_orderkey, l_linenumber FROM lineitem")
+
+
+def _csv(t: Tables) -> str:
+    path = scratch(t, "orders") + ".csv"
+    files.write(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").repartition(3, "o_orderkey"), path)
+    return path
+
+
+def _csv_chunks(t: Tables) -> DataFrame:
+    path = _csv(t)
+    return X.concat([files.read_partial(t.spark, path, chunks=c, n_chunks=4).withColumn("chunk", F.lit(c)) for c in (1, 2, 3, 4)])
+
+
+add("partial_csv_chunks", lambda t: _csv_chunks(t).drop("chunk"), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+add("partial_csv_sizes", lambda t: _csv_chunks(t).groupBy("chunk").agg(F.count("*").alias("n")), "SELECT k.chunk, CASE WHEN k.chunk < 4 THEN a.n // 4 ELSE a.n - 3 * (a.n // 4) END AS n FROM (VALUES (1), (2), (3), (4)) AS k(chunk), (SELECT count(*) AS n FROM orders) AS a")
+add("header_stats", lambda t: files.header_frame(t.spark, lp(t)).where(F.col("column").isin("l_orderkey", "l_quantity", "l_extendedprice")).select("column", "nulls", F.col("least").cast("double").alias("least"), F.col("largest").cast("double").alias("largest"), "rows"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, min({c})::DOUBLE AS least, max({c})::DOUBLE AS largest, count(*) AS rows FROM lineitem" for c in ("l_orderkey", "l_quantity", "l_extendedprice")))
+add("profile_nulls_dtypes", lambda t: S.profile_columns(left_orders(t).select("c_custkey", "o_orderkey", "o_orderstatus")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS dtype, count(*) - count({c}) AS nulls, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS n_unique FROM (SELECT * FROM customer LEFT JOIN orders ON c_custkey = o_custkey)" for c, k in (("c_custkey", "bigint"), ("o_orderkey", "bigint"), ("o_orderstatus", "string"))))
 add("upsert", lambda t: files.upsert(t.nation, t.nation.where("n_nationkey < 3").withColumn("n_name", F.lit("NEW")), ["n_nationkey"]), "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'NEW' ELSE n_name END AS n_name, n_regionkey FROM nation")
 name_report = {"c_name": detect.ColumnReport("c_name", "nome", "medium", "redact", 0.5, 1.0), "m": detect.ColumnReport("m", "quasi_identifier", "low", "truncate", 0.5, 0.1)}
 add("mask_sql_spark", lambda t: sqlmask.masked_query(t.spark, "SELECT c.c_custkey, c.c_name, c.c_mktsegment AS m FROM customer c WHERE c.c_acctbal > 0", name_report, SALT, customer=t.customer), "SELECT c_custkey, 'REDACTED' AS c_name, substr(c_mktsegment, 1, 5) || '-XXX' AS m FROM customer WHERE c_acctbal > 0")

@@ -18,16 +18,13 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     from .functions.detect import scan
     from .operators.mask import mask
-    from .operators.metrics import privacy_score
-    from .operators.stats import count_nulls
     from .sources import files, sealed
 
     spark = SparkSession.builder.getOrCreate()
     if a.command == "scan":
         print(json.dumps({c: r.to_dict() for c, r in scan(files.read_file(spark, a.path)).items()}, indent=2))
     elif a.command == "profile":
-        df = files.read_file(spark, a.path)
-        print(json.dumps({"nulls": {r["column"]: r["nulls"] for r in count_nulls(df).collect()}, "score": privacy_score(df, scan(df))}, indent=2))
+        print(json.dumps(files.profile(spark, a.path), indent=2, default=str))
     elif a.command == "mask":
         files.write(mask(files.read_file(spark, a.path), salt=a.salt), a.output, mode="overwrite")
     elif a.command == "pack":

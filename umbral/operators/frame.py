@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.predicates import predicate
+from . import bands
 
 
 def _list(x) -> list:
@@ -113,10 +114,14 @@ def cast(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def fill_null(df: DataFrame, value, *, order_by=None, columns=None) -> DataFrame:
-    """A scalar, a value per column, or 'forward' / 'backward' along order_by."""
+    """A scalar, a value per column, or 'forward' / 'backward' along order_by (or the reading order).
+
+    Along column names no task sees the whole table; an order of Column expressions takes one task."""
     if value in ("forward", "backward"):
+        names, by = _list(columns) or df.columns, _list(order_by)
+        if all(isinstance(c, str) for c in by):
+            return bands.fill(df, names, by, value == "forward")
         w = Window.orderBy(*_order(df, order_by))
-        names = _list(columns) or df.columns
         if value == "forward":
             return df.withColumns({c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
         return df.withColumns({c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) for c in names})

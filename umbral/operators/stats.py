@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .bands import running
+
 
 def numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -39,6 +41,12 @@ def nunique(df: DataFrame, *, with_null: bool = True, approx: bool = False) -> D
     return pairs.groupBy("column").agg((F.count("*") if with_null else F.count("value")).alias("n_unique"))
 
 
+def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
+    """column, dtype, nulls, n_unique (null counts as a value; approximate if asked)."""
+    kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    return count_nulls(df).join(nunique(df, approx=approx), "column").select("column", kinds[F.col("column")].alias("dtype"), "nulls", "n_unique")
+
+
 def value_counts(df: DataFrame, col: str, *, normalize: bool = False, n: int = 20) -> DataFrame:
     """The n most frequent values; shares are of those n."""
     top = df.groupBy(col).agg(F.count("*").alias("count")).orderBy(F.desc("count"), F.col(col).asc_nulls_last()).limit(n)
@@ -57,8 +65,7 @@ def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df.select(*columns)
     for c in columns:
         freq = out.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
-        up = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        freq = freq.select(F.col(c).alias("__v"), (up - (F.col("__n") - 1) / 2).alias("__r"))
+        freq = running(freq, "__n", c, "__up").select(F.col(c).alias("__v"), (F.col("__up") - (F.col("__n") - 1) / 2).alias("__r"))
         out = out.join(freq, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
     return out
 

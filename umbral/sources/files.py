@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.detect import RISKS, scan
 from ..plans.predicates import predicate
@@ -139,6 +141,50 @@ def header(spark: SparkSession, path: str) -> dict:
     return {"rows": rows, "row_groups": groups, "columns": cols}
 
 
+def _chunks(df: DataFrame, picked: list[int], n_chunks: int) -> DataFrame:
+    """Rows of the picked chunks in reading order: rows are numbered within the blocks that tasks read, and blocks by a row each.
+
+    Works for every format; files go by path. The numbers hold as long as the files don't change."""
+    kept = df.columns
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")] if _has_files(df) else [F.lit("").alias("__file"), F.spark_partition_id().cast("long").alias("__start")]
+    rows = df.select("*", *block, F.monotonically_increasing_id().alias("__at"))
+    blocks = rows.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("__file").alias("__f"), F.col("__start").alias("__s"), "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    size = F.greatest(F.lit(1), F.floor(F.col("__all") / n_chunks))
+    part = F.least(F.floor((F.col("__base") + F.col("__at") - F.col("__first")) / size), F.lit(n_chunks - 1)) + 1
+    return rows.join(blocks, (F.col("__file") == F.col("__f")) & (F.col("__start") == F.col("__s"))).where(part.isin(picked)).select(*kept)
+
+
+def _has_files(df: DataFrame) -> bool:
+    """Whether rows know the files that they are from; those of Arrow files and pandas readers don't."""
+    try:
+        df.select("_metadata.file_path").schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def profile(spark: SparkSession, source, *, head: int = 5, approx: bool = False, score: bool = True, **options) -> dict:
+    """shape, dtypes, nulls, distinct counts, describe, first rows and privacy score of anything that read() takes."""
+    from ..operators import metrics, stats
+
+    df = read(spark, source, **options)
+    columns = {r["column"]: r for r in stats.profile_columns(df, approx=approx).collect()}
+    out = {
+        "shape": stats.shape(df), "dtypes": dict(df.dtypes), "nulls": {c: columns[c]["nulls"] for c in df.columns}, "distinct": {c: columns[c]["n_unique"] for c in df.columns},
+        "describe": [r.asDict() for r in stats.describe(df).collect()] if stats.numeric(df) else [], "head": [r.asDict(recursive=True) for r in df.limit(head).collect()],
+    }
+    return out | ({"score": metrics.privacy_score(df, scan(df))} if score else {})
+
+
+def header_frame(spark: SparkSession, path: str) -> DataFrame:
+    """column, type, nulls, least and largest value (as text), rows, from Parquet footers alone."""
+    found = header(spark, path)
+    rows = [(c, x["type"], x["nulls"], *(None if x[k] is None else str(x[k]) for k in ("min", "max")), found["rows"]) for c, x in found["columns"].items()]
+    return spark.createDataFrame(rows, "column string, type string, nulls long, least string, largest string, rows long")
+
+
 def read_partial(spark: SparkSession, path: str, *, header_only: bool = False, head: int | None = None, tail: int | None = None, columns=None, n_chunks: int | None = None, chunks=None, sample: int | None = None, sample_seed: int = 42, order_by=None):
     """The header, the first or last rows, a sample, or chunks (from 1) of n_chunks by row number."""
     from ..operators import frame
@@ -152,11 +198,7 @@ def read_partial(spark: SparkSession, path: str, *, header_only: bool = False, h
         picked = [chunks] if isinstance(chunks, int) else list(chunks)
         if any(not 1 <= c <= n_chunks for c in picked):
             raise ValueError(f"chunks go from 1 to {n_chunks}")
-        row = F.col("_metadata.row_index")
-        total = df.select(row.alias("r")).agg(F.max("r")).first()[0]
-        size = max(1, ((total or 0) + 1) // n_chunks)
-        part = F.least(F.floor(row / size), F.lit(n_chunks - 1)) + 1
-        df = df.where(part.isin(picked))
+        df = _chunks(df, picked, n_chunks)
     df = df.select(*columns) if columns else df
     if sample is not None:
         return frame.sample(df, sample, seed=sample_seed)
@@ -249,7 +291,7 @@ def write_masked_table(spark: SparkSession, source: str, target: str, salt: str,
 
 
 def inventory(spark: SparkSession, path: str, *, extensions=None, recursive: bool = True, min_risk: str | None = None, max_files: int | None = None, sample_size: int | None = None, skip_errors: bool = True) -> DataFrame:
-    """file, column, pii_type, risk_level, mask_strategy, match_ratio of the files under a folder."""
+    """file, column, pii_type, risk_level, mask_strategy, match_ratio of the files under a folder; of a file that can't be read, its error."""
     known = set(extensions or [*SPARK_FORMATS, ".csv", ".tsv", *ARROW])
     files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if os.path.splitext(f)[1].lower() in known and (recursive or d == path)]
     rows = []
@@ -257,8 +299,9 @@ def inventory(spark: SparkSession, path: str, *, extensions=None, recursive: boo
         try:
             for r in scan(read_file(spark, name), sample_size=sample_size).values():
                 if min_risk is None or RISKS[r.risk_level] <= RISKS[min_risk]:
-                    rows.append((os.path.relpath(name, path), r.column, r.pii_type, r.risk_level, r.mask_strategy, float(r.match_ratio)))
-        except Exception:
+                    rows.append((os.path.relpath(name, path), r.column, r.pii_type, r.risk_level, r.mask_strategy, float(r.match_ratio), None))
+        except Exception as e:
             if not skip_errors:
                 raise
-    return spark.createDataFrame(rows, "file string, column string, pii_type string, risk_level string, mask_strategy string, match_ratio double")
+            rows.append((os.path.relpath(name, path), None, None, None, None, None, f"{type(e).__name__}: {e}".split("\n")[0]))
+    return spark.createDataFrame(rows, "file string, column string, pii_type string, risk_level string, mask_strategy string, match_ratio double, error string")
