@@ -6,17 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from umbral.operators import bands, stats
+from umbral.functions import text
+from umbral.operators import bands, metrics, stats
 from umbral.operators import frame as X
 from umbral.sources import files
 
 ROWS = [(i, f"k{i % 7}", None if random.Random(i).random() < 0.6 else float(i)) for i in range(500)]
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 @pytest.mark.parametrize("by", ["i", ["s", "i"]])
 @pytest.mark.parametrize("way", ["forward", "backward"])
 def test_fill(spark, by, way):
@@ -54,7 +51,7 @@ def test_running(spark):
     for i in range(1000):
         total += i % 5
         want[f"v{i:04}"] = total
-    assert {r["k"]: r["t"] for r in bands.running(df, "n", "k", "t").collect()} == want
+    assert {r["k"]: r["t"] for r in bands.running(df, {"n": "t"}, "k").collect()} == want
     assert [r["v"] for r in stats.ranks(spark.createDataFrame([(3,), (1,), (3,), (None,)], "v int"), ["v"]).orderBy("v").collect()] == [None, 1.0, 2.5, 2.5]
 
 
@@ -70,6 +67,23 @@ def test_chunks(spark, tmp_path, ext):
         files.read_partial(spark, path, chunks=[6], n_chunks=5)
 
 
+def test_text_masks_skip_plain_rows(spark):
+    draw, letters = random.Random(5), "ab @.12345678-/()\u0663\u0967\u4e2dx"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(40))) for _ in range(400)] + [None, "", "no data", "a@b.co", "ring 11 98888-7777", "10.0.0.1", "52998224725"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r for r in df.select("i", text.mask_text_column(F.col("t"), "hash", "s" * 40).alias("m"), text.spans(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["m"] == text.mask_text(t, "hash", "s" * 40)
+        assert [x.asDict() for x in got[i]["s"]] == text.find_spans(t)
+
+
+def test_ks(spark):
+    a, b = [1.0, 2.0, 2.0, 3.0, None], [2.0, 3.0, 4.0, 4.0]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "v double")
+    assert metrics.ks(frame(a), frame(b), "v").first()["ks"] == pytest.approx(0.5)
+    assert metrics.ks(frame([]), frame([]), "v").first()["ks"] is None
+
+
 def test_profile_and_inventory(spark, tmp_path):
     path = str(tmp_path / "x.parquet")
     spark.createDataFrame([(1, "a"), (2, None), (2, "b")], "i int, s string").write.parquet(path)

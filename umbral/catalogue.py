@@ -222,10 +222,12 @@ def _ratio_sql(table: str, columns: list[str]) -> str:
 
 add("scan_ratios", lambda t: r6(detect.ratios(people(t), {k: detect.PATTERNS[k] for k in FULL}).drop("n_unique")), _ratio_sql(PEOPLE, ["email", "phone", "postcode", "born"]))
 reports = lambda spark, found: spark.createDataFrame([(r.column, r.pii_type, r.risk_level, r.mask_strategy, round(float(r.match_ratio), 6)) for r in found.values()], "column string, pii_type string, risk_level string, mask_strategy string, match_ratio double")
-add("scan_fast", lambda t: reports(t.spark, detect.scan(people(t))))
-add("scan_classic", lambda t: reports(t.spark, detect.scan(t.customer, mode="classic")))
+_share = lambda c, k: f"(SELECT round(avg(CASE WHEN regexp_full_match(trim({c}), '{FULL[k]}') THEN 1.0 ELSE 0.0 END), 6)::DOUBLE FROM {PEOPLE})"
+_found = lambda *rows: "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', '{risk}', '{how}', {r})" for c, k, risk, how, r in rows) + ') v("column", pii_type, risk_level, mask_strategy, match_ratio)'
+add("scan_fast", lambda t: reports(t.spark, detect.scan(people(t))), _found(("c_custkey", "numerico", "low", "mock_numeric", "0.0::DOUBLE"), ("email", "email", "high", "hash", _share("email", "email")), *[(c, "telefone", "high", "mask_phone_ddd", _share(c, "telefone")) for c in ("phone", "postcode")]))
+add("scan_classic", lambda t: reports(t.spark, detect.scan(t.customer, mode="classic")), _found(("c_name", "nome", "high", "redact", "0.5::DOUBLE")))
 add("scan_custom", lambda t: reports(t.spark, detect.scan(t.part.select("p_brand"), custom_patterns={"brand": r"^Brand#\d+$"})), "SELECT 'p_brand' AS \"column\", 'custom_pii:brand' AS pii_type, 'medium' AS risk_level, 'hash' AS mask_strategy, 1.0::DOUBLE AS match_ratio")
-add("scan_nested", lambda t: reports(t.spark, detect.scan(people(t).select(F.struct("email", "phone").alias("who"), F.array("email", "email").alias("mails")))))
+add("scan_nested", lambda t: reports(t.spark, detect.scan(people(t).select(F.struct("email", "phone").alias("who"), F.array("email", "email").alias("mails")))), _found(("who.email", "email", "high", "hash", _share("email", "email")), ("who.phone", "telefone", "high", "mask_phone_ddd", _share("phone", "telefone")), ("mails[]", "email", "high", "hash", _share("email", "email"))))
 add("scan_sensitive", lambda t: t.spark.createDataFrame([(x["column"], x["category"]) for x in detect.scan_sensitive(t.customer.select(F.col("c_mktsegment").alias("religiao"), F.lit("A01").alias("code_x"), F.col("c_custkey").alias("dna")))], "column string, category string"), "SELECT * FROM (VALUES ('religiao', 'convicção_religiosa'), ('code_x', 'saude_vida_sexual'), ('dna', 'dado_genetico_biometrico')) v(\"column\", category)")
 digit = lambda base, w, n: f"CASE WHEN (list_sum(list_transform(range(0, {n}), lambda i: CAST(substring({base}, CAST(i + 1 AS INTEGER), 1) AS INTEGER) * {w}[i + 1]))) % 11 < 2 THEN '0' ELSE CAST(11 - (list_sum(list_transform(range(0, {n}), lambda i: CAST(substring({base}, CAST(i + 1 AS INTEGER), 1) AS INTEGER) * {w}[i + 1]))) % 11 AS VARCHAR) END"
 for name, n, w, f in (("cpf", 9, K.CPF_WEIGHTS, K.valid_cpf), ("cnpj", 12, K.CNPJ_WEIGHTS, K.valid_cnpj)):
@@ -243,7 +245,7 @@ add("mask_phone", lambda t: cust(t, phone=K.mask_phone(F.col("phone"))), f"SELEC
 add("mask_decade", lambda t: cust(t, born=K.decade(F.col("born"))), f"SELECT c_custkey, CAST(CAST(substr(born, 1, 3) AS INTEGER) * 10 AS VARCHAR) || '-' || CAST(CAST(substr(born, 1, 3) AS INTEGER) * 10 + 9 AS VARCHAR) AS born FROM {PEOPLE}")
 add("mask_decade_ts", lambda t: t.orders.select("o_orderkey", K.decade(F.col("o_orderdate"), "timestamp", 5).alias("years")), "SELECT o_orderkey, CAST(year(o_orderdate) // 5 * 5 AS VARCHAR) || '-' || CAST(year(o_orderdate) // 5 * 5 + 4 AS VARCHAR) AS years FROM orders")
 add("mask_suppress", lambda t: cust(t, email=K.suppress(F.col("email"))), f"SELECT c_custkey, NULL::VARCHAR AS email FROM {PEOPLE}")
-add("mask_auto", lambda t: M.mask(people(t), salt=SALT, columns=["email", "phone", "born"]).select("c_custkey", "email", "phone", "born"))
+add("mask_auto", lambda t: M.mask(people(t), salt=SALT, columns=["email", "phone", "born"]).select("c_custkey", "email", "phone", "born"), f"SELECT c_custkey, {_duck_hmac('email')} AS email, substr(phone, 1, 3) || ' XXXX-XXXX' AS phone, born FROM {PEOPLE}")
 add("mask_explicit", lambda t: M.mask(people(t), salt=SALT, reports={"email": detect.ColumnReport("email", "email", "high", "hash", 1.0, 1.0), "postcode": detect.ColumnReport("postcode", "cep", "low", "truncate", 1.0, 1.0)}).select("c_custkey", "email", "postcode"), f"SELECT c_custkey, {_duck_hmac('email')} AS email, substr(postcode, 1, 5) || '-XXX' AS postcode FROM {PEOPLE}")
 add("mask_risk_high", lambda t: M.mask(people(t), salt=SALT, risk="high").select("c_custkey", "email"), f"SELECT c_custkey, NULL::VARCHAR AS email FROM {PEOPLE}")
 add("mask_mock_num", lambda t: t.customer.select("c_custkey", K.mock_number(F.col("c_acctbal"), -1000.0, 10000.0, False, K.uniform(F.col("c_custkey"), 7)).alias("x")).agg(F.count("x").alias("n"), F.count_if((F.col("x") < -1000) | (F.col("x") > 10000)).alias("out")), "SELECT count(*) AS n, CAST(0 AS BIGINT) AS out FROM customer")
@@ -292,7 +294,7 @@ add("jsd", lambda t: r6(P.jsd(side(t, "A"), side(t, "N"), "l_linenumber")), f"WI
 TK = "SELECT l_suppkey AS v FROM {} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10"
 add("topk_overlap", lambda t: r6(P.top_k_overlap(side(t, "A"), side(t, "N"), "l_suppkey")), f"SELECT round((SELECT count(*) FROM (SELECT * FROM ({TK.format(A_)}) INTERSECT SELECT * FROM ({TK.format(B_)}))) / (SELECT count(*) FROM (SELECT * FROM ({TK.format(A_)}) UNION SELECT * FROM ({TK.format(B_)}))), 6) AS overlap")
 add("corr_delta", lambda t: r6(P.correlation_delta(side(t, "A"), side(t, "N"), NUM)), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(abs(x - y), 6) AS delta, abs(x - y) >= 0.05 AS changed FROM (SELECT (SELECT corr({a}, {b}) FROM {A_}) AS x, (SELECT corr({a}, {b}) FROM {B_}) AS y)" for a, b in PAIRS))
-add("utility_metrics", lambda t: r6(P.utility(side(t, "A"), side(t, "N"), ["l_quantity", "l_extendedprice"])))
+add("utility_metrics", lambda t: r6(P.utility(side(t, "A"), side(t, "N"), ["l_quantity", "l_extendedprice"])), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(abs(x.m - y.m) / greatest(abs(x.m), 1e-9) * 100, 6) AS mean_diff_pct, round(abs(x.s - y.s) / greatest(abs(x.s), 1e-9) * 100, 6) AS std_diff_pct, k.ks, p.psi FROM (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM {A_}) x, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM {B_}) y, ({_SQL['ks_stat'].replace('l_extendedprice', c)}) k, ({_SQL['psi_equal_width'].replace('l_extendedprice', c)}) p" for c in ("l_quantity", "l_extendedprice")))
 add("dcr_nndr", lambda t: r6(P.nearest_distances(side(t, "A"), side(t, "N"), ["l_quantity", "l_extendedprice"])))
 dp = lambda: P.DifferentialPrivacy(1.0, seed=9)
 add("dp_laplace", lambda t: dp().laplace_columns(t.lineitem.select("l_orderkey", "l_quantity"), ["l_quantity"]))
@@ -301,6 +303,13 @@ add("dp_randomized_response", lambda t: dp().randomized_response(t.customer.sele
 add("dp_count", lambda t: dp().count(t.lineitem))
 add("dp_mean", lambda t: dp().mean(t.lineitem, "l_quantity", 0, 50))
 add("dp_histogram", lambda t: dp().histogram(t.lineitem, "l_returnflag"))
+# What must hold whatever the noise: exact sizes, bounds, and distances that noise of epsilon 1 passes once in e^40 times
+_near = lambda noisy, exact, most: (F.abs(F.col(noisy) - F.col(exact)) <= most).alias("near")
+for kind in ("laplace", "gaussian"):
+    add(f"dp_{kind}_bounds", lambda t, kind=kind: getattr(dp(), f"{kind}_columns")(t.lineitem.select("l_quantity"), ["l_quantity"]).crossJoin(t.lineitem.agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))).agg(F.count("l_quantity").alias("n"), F.count_if((F.col("l_quantity") < F.col("lo")) | (F.col("l_quantity") > F.col("hi"))).alias("out")), "SELECT count(l_quantity) AS n, CAST(0 AS BIGINT) AS out FROM lineitem")
+add("dp_count_near", lambda t: dp().count(t.lineitem).withColumnRenamed("n", "noisy").crossJoin(t.lineitem.agg(F.count("*").alias("n"))).select("n", _near("noisy", "n", 40)), "SELECT count(*) AS n, true AS near FROM lineitem")
+add("dp_mean_near", lambda t: dp().mean(t.lineitem, "l_quantity", 0, 50).crossJoin(t.lineitem.agg(F.avg(F.least("l_quantity", F.lit(50))).alias("m"), F.count("*").alias("n"))).select("n", (F.abs(F.col("mean") - F.col("m")) <= 40 * 50 / F.col("n")).alias("near")), "SELECT count(*) AS n, true AS near FROM lineitem")
+add("dp_histogram_near", lambda t: dp().histogram(t.lineitem, "l_returnflag").withColumnRenamed("n", "noisy").join(t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n")), "l_returnflag").select("l_returnflag", "n", _near("noisy", "n", 40)), "SELECT l_returnflag, count(*) AS n, true AS near FROM lineitem GROUP BY 1")
 
 
 # -- sealed datasets

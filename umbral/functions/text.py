@@ -19,6 +19,8 @@ from .tokens import CNPJ_WEIGHTS, CPF_WEIGHTS
 #: The patterns without anchors, in the order in which they win.
 FREE = {k: p.removeprefix("^").removesuffix("$") for k, p in PATTERNS.items()}
 ORDER = ["cpf", "cnpj", "cartao_credito", "email", "ip", "telefone", "cep", "rg"]
+#: What a text must hold for any pattern to match: an at sign or a digit; beyond U+0600, where other scripts' digits begin, anything.
+MAY = r"[@0-9\x{0600}-\x{10FFFF}]"
 SPANS = "array<struct<type:string,value:string,start:int,end:int,validated:boolean>>"
 
 
@@ -34,9 +36,12 @@ def _digits_ok(digits: str, n: int, weights) -> bool:
 
 def find_spans(text: str | None) -> list[dict]:
     """Spans that don't overlap, by place; CPF and CNPJ only with right check digits; of two at a place the longer wins."""
-    found = []
+    found, text = [], text or ""
+    at_sign, digit = "@" in text, re.search(r"\d", text)
     for kind in ORDER:
-        for m in re.finditer(FREE[kind], text or "", re.IGNORECASE):
+        if not (at_sign if kind == "email" else digit):
+            continue
+        for m in re.finditer(FREE[kind], text, re.IGNORECASE):
             if kind in ("cpf", "cnpj"):
                 digits = re.sub(r"\D", "", m.group())
                 if not _digits_ok(digits, *((11, CPF_WEIGHTS) if kind == "cpf" else (14, CNPJ_WEIGHTS))):
@@ -51,12 +56,17 @@ def find_spans(text: str | None) -> list[dict]:
     return out
 
 
+def _candidate(c: Column) -> Column:
+    """Texts in which something may match; others are null and don't go to Python."""
+    return F.when(c.rlike(MAY), c)
+
+
 def spans(c: Column) -> Column:
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(find_spans)
 
-    return run(c)
+    return run(_candidate(c))
 
 
 def mask_text(text: str | None, strategy: str = "redact", salt: str | None = None) -> str | None:
@@ -92,7 +102,7 @@ def mask_text_column(c: Column, strategy: str = "redact", salt: str | None = Non
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: mask_text(t, strategy, salt))
 
-    return run(c)
+    return F.coalesce(run(_candidate(c)), c)
 
 
 def redact_type(c: Column, kind: str) -> Column:

@@ -47,11 +47,12 @@ def fill(df: DataFrame, names: list[str], by: list[str], forward: bool) -> DataF
     return _beside(rows, ends).withColumns(made).select(*kept)
 
 
-def running(df: DataFrame, value: str, by: str, name: str) -> DataFrame:
-    """df with the sum of value over all rows up to each row by a column whose values differ."""
+def running(df: DataFrame, values: dict[str, str], by: str) -> DataFrame:
+    """df with the sums of columns (name: the sum's name) over all rows up to each row by a column whose values differ."""
     kept, rows = df.columns, banded(df, [by])
     before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("__band").agg(F.sum(value).alias("__sum"))
-    sums = sums.select("__band", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    own = F.sum(value).over(Window.partitionBy("__band").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-    return _beside(rows, sums).withColumn(name, F.col("__base") + own).select(*kept, name)
+    sums = rows.groupBy("__band").agg(*[F.sum(v).alias(f"__sum{i}") for i, v in enumerate(values)])
+    sums = sums.select("__band", *[F.coalesce(F.sum(f"__sum{i}").over(before), F.lit(0)).alias(f"__base{i}") for i in range(len(values))])
+    inside = Window.partitionBy("__band").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    made = {name: F.col(f"__base{i}") + F.sum(v).over(inside) for i, (v, name) in enumerate(values.items())}
+    return _beside(rows, sums).withColumns(made).select(*kept, *made)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.detect import ColumnReport
+from .bands import running
 
 
 def k_anonymity(df: DataFrame, quasi: list[str]) -> DataFrame:
@@ -156,9 +157,9 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     n = _values(a, column).where("v is not null").select("v", F.lit(1).alias("a"), F.lit(0).alias("b"))
     m = _values(b, column).where("v is not null").select("v", F.lit(0).alias("a"), F.lit(1).alias("b"))
     g = n.unionByName(m).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    up, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(every) - F.sum("b").over(up) / F.sum("b").over(every))
-    return g.select(gap.alias("d")).agg(F.max("d").alias("ks"))
+    up, every = running(g, {"a": "up_a", "b": "up_b"}, "v"), g.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.col("up_a") / F.col("all_a") - F.col("up_b") / F.col("all_b"))
+    return up.crossJoin(F.broadcast(every)).agg(F.max(gap).alias("ks"))  # every is a single row
 
 
 def _shares(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

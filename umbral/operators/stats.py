@@ -65,7 +65,7 @@ def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df.select(*columns)
     for c in columns:
         freq = out.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
-        freq = running(freq, "__n", c, "__up").select(F.col(c).alias("__v"), (F.col("__up") - (F.col("__n") - 1) / 2).alias("__r"))
+        freq = running(freq, {"__n": "__up"}, c).select(F.col(c).alias("__v"), (F.col("__up") - (F.col("__n") - 1) / 2).alias("__r"))
         out = out.join(freq, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
     return out
 
