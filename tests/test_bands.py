@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from umbral.functions import text
+from umbral.functions import detect, text
 from umbral.operators import bands, metrics, stats
 from umbral.operators import frame as X
 from umbral.sources import files
@@ -96,3 +96,7 @@ def test_profile_and_inventory(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["error"] and rows[0]["column"] is None
     with pytest.raises(Exception):
         files.inventory(spark, str(tmp_path), extensions=[".parquet"], skip_errors=False)
+
+
+def test_safe_names():
+    assert detect.is_safe("data_admissão") and detect.is_safe("criação") and not detect.is_safe("admiração")

@@ -387,7 +387,7 @@ def _csv_chunks(t: Tables) -> DataFrame:
     return X.concat([files.read_partial(t.spark, path, chunks=c, n_chunks=4).withColumn("chunk", F.lit(c)) for c in (1, 2, 3, 4)])
 
 
-add("partial_csv_chunks", lambda t: _csv_chunks(t).drop("chunk"), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+add("partial_csv_chunks", lambda t: _csv_chunks(t).select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus"), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 add("partial_csv_sizes", lambda t: _csv_chunks(t).groupBy("chunk").agg(F.count("*").alias("n")), "SELECT k.chunk, CASE WHEN k.chunk < 4 THEN a.n // 4 ELSE a.n - 3 * (a.n // 4) END AS n FROM (VALUES (1), (2), (3), (4)) AS k(chunk), (SELECT count(*) AS n FROM orders) AS a")
 add("header_stats", lambda t: files.header_frame(t.spark, lp(t)).where(F.col("column").isin("l_orderkey", "l_quantity", "l_extendedprice")).select("column", "nulls", F.col("least").cast("double").alias("least"), F.col("largest").cast("double").alias("largest"), "rows"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, min({c})::DOUBLE AS least, max({c})::DOUBLE AS largest, count(*) AS rows FROM lineitem" for c in ("l_orderkey", "l_quantity", "l_extendedprice")))
 add("profile_nulls_dtypes", lambda t: S.profile_columns(left_orders(t).select("c_custkey", "o_orderkey", "o_orderstatus")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS dtype, count(*) - count({c}) AS nulls, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS n_unique FROM (SELECT * FROM customer LEFT JOIN orders ON c_custkey = o_custkey)" for c, k in (("c_custkey", "bigint"), ("o_orderkey", "bigint"), ("o_orderstatus", "string"))))

@@ -45,7 +45,7 @@ QUASI = [
 SAFE = [
     "id", "pk", "fk", "key", "index", "idx", "row_num", "created", "updated", "deleted", "valor", "value", "price", "amount", "preco", "quantidade", "count", "total", "score", "rank",
     "version", "versao", "uuid", "guid", "token", "hash", "arquivo", "file", "filename", "filepath", "path", "tabela", "table", "relatorio", "report", "log", "sistema", "system", "modulo", "module", "tipo",
-    "timestamp", "num", "seq", "cod", "code", "admissao", "contratacao", "cadastro", "criacao", "atualizacao", "vencimento", "expiracao", "validade", "referencia", "pedido", "compra", "venda", "entrega", "envio", "fatura",
+    "timestamp", "num", "seq", "cod", "code", "admissao", "admissão", "contratacao", "contratação", "cadastro", "criacao", "criação", "atualizacao", "vencimento", "expiracao", "validade", "referencia", "pedido", "compra", "venda", "entrega", "envio", "fatura",
 ]
 # Strategy and risk by type.
 STRATEGY = {
