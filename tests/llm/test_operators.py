@@ -138,6 +138,12 @@ def test_jaccard(odd, docs, wide):
     assert jaccard.ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_packed_columns():
+    x = np.array([0, 1, 2**48 - 1, 2**48, 2**64 - 1, 0x123456789ABCDEF0], np.uint64)
+    assert jaccard.unpacked(jaccard.packed(x)).tolist() == [int(v) % 2**48 for v in x.tolist()]
+    assert len(jaccard.unpacked(jaccard.packed(x[:0]))) == 0
+
+
 def test_jaccard_large_groups(spark):
     base = [f"w{i}" for i in range(120)]
     rows = []

@@ -84,6 +84,19 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def packed(cols: np.ndarray) -> bytes:
+    """The lower 48 bits of hashes, which tell the columns of a block apart.
+
+    Columns of different sets that fall together bring more pairs to check; two of one set of n do with a chance under n^2 / 2^49."""
+    return cols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def sketch(s: np.ndarray) -> bytes:
     n = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
     return np.minimum(n, FULL).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
@@ -156,7 +169,7 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
             for j in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[j] : cuts[j + 1]]
                 mine, local = np.unique(who[o], return_inverse=True)
-                for name, x in (("block", j), ("cols", cols[o].tobytes()), ("who", planes(local)), ("place", planes(place[o])), ("classes", classes[mine].tobytes())):
+                for name, x in (("block", j), ("cols", packed(cols[o])), ("who", planes(local)), ("place", planes(place[o])), ("classes", classes[mine].tobytes())):
                     rows[name].append(x)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("cols", "who", "place", "classes")]]))
 
@@ -177,7 +190,7 @@ def _product(num: int, den: int, wide: int):
         cols, who, place, classes, at = [], [], [], [], 0
         for r in table.to_pylist():
             c = np.frombuffer(r["classes"], np.int64).reshape(-1, 3)
-            cols.append(np.frombuffer(r["cols"], np.uint64))
+            cols.append(unpacked(r["cols"]))
             who.append(unplanes(r["who"]) + at)
             place.append(unplanes(r["place"]))
             classes.append(c)
