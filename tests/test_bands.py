@@ -45,6 +45,26 @@ def test_order_expressions(spark):
     assert {r["i"]: r["v"] for r in X.fill_null(df, "forward", order_by=F.desc("i"), columns=["v"]).collect()} == {1: 5.0, 2: 7.0, 3: 7.0}
 
 
+@pytest.mark.parametrize("by", ["i", ["s", "i"], [], "desc"])
+def test_fill_backward_reads_rows_once(spark, by):
+    # frames up to the last row are read anew for every row
+    by, sign = ([F.desc("i"), F.col("s")], -1) if by == "desc" else (by, 1)
+    rows = [(None, "k", 3.0), (0, None, None), *ROWS[1:]]
+    df = spark.createDataFrame(rows, "i int, s string, v double").coalesce(1)
+    low = lambda x: (x is not None, x if x is not None else 0)
+    if by and sign == 1:
+        rows.sort(key=lambda r: (low(r[0]),) if by == "i" else ((r[1] is not None, r[1] or ""), low(r[0])))
+    elif sign == -1:
+        rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want, last = {}, None
+    for i, _, v in rows[::-1]:
+        last = last if v is None else v
+        want[i] = last
+    out = X.fill_null(df, "backward", order_by=by, columns=["v"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.columns == df.columns and {r["i"]: r["v"] for r in out.collect()} == want
+
+
 def test_running(spark):
     df = spark.createDataFrame([(f"v{i:04}", i % 5) for i in range(1000)], "k string, n long").repartition(5)
     total, want = 0, {}

@@ -32,18 +32,17 @@ def _beside(df: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def fill(df: DataFrame, names: list[str], by: list[str], forward: bool) -> DataFrame:
-    """df with nulls of names replaced by the last value before them, or the next one after."""
+    """df with nulls of names replaced by the last value before them, or the next one after.
+
+    Backward, rows are taken in the opposite order: a frame that ends with its band would be read anew for every row."""
     kept, rows = df.columns, banded(df, by)
     order = by or ["__at"]
-    inside, across = Window.partitionBy("__band").orderBy(*order), Window.orderBy("__band")
-    best, held = (F.max_by, F.last) if forward else (F.min_by, F.first)
-    if forward:
-        inside, across = inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        inside, across = inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
+    turn, best = (F.asc, F.max_by) if forward else (F.desc, F.min_by)
+    inside = Window.partitionBy("__band").orderBy(*[turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.orderBy(turn("__band")).rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("__band").agg(*[best(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__end{i}") for i, c in enumerate(names)])
-    ends = ends.select("__band", *[held(f"__end{i}", ignorenulls=True).over(across).alias(f"__end{i}") for i in range(len(names))])
-    made = {c: F.coalesce(held(c, ignorenulls=True).over(inside), F.col(f"__end{i}")) for i, c in enumerate(names)}
+    ends = ends.select("__band", *[F.last(f"__end{i}", ignorenulls=True).over(across).alias(f"__end{i}") for i in range(len(names))])
+    made = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__end{i}")) for i, c in enumerate(names)}
     return _beside(rows, ends).withColumns(made).select(*kept)
 
 
