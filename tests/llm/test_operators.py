@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,44 @@ def test_jaccard_large_groups(spark):
     assert Counter(map(tuple, got)) == groups([{"doc_id": a, "text": b} for a, b in rows])
 
 
+def test_overlaps_bound():
+    draw = np.random.default_rng(3)
+    pick = lambda n: draw.integers(0, 2**63, n, dtype=np.uint64)
+    pairs = []
+    for n in (1, 3, 500, 513, 700, 2100, 9000, 40_000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            both = pick(int(n * share))
+            pairs.append(tuple(np.unique(np.concatenate([both, pick(m - len(both))])) for m in (n, n + n // 5)))
+    most, full = jaccard.overlaps([jaccard.tally(x) for x, _ in pairs], [jaccard.tally(y) for _, y in pairs])
+    assert not full.any() and all(m >= len(np.intersect1d(x, y)) for m, (x, y) in zip(most.tolist(), pairs, strict=True))
+    crowd = np.arange(300, dtype=np.uint64)  # all in one part
+    assert jaccard.overlaps([jaccard.tally(crowd)], [jaccard.tally(crowd)])[1].all()
+    assert jaccard.overlaps([], [])[0].tolist() == []
+
+
+def test_few_whole_sets_move():
+    # long texts with half of their words in common are told apart by counts
+    text = " ".join(f"w{i}" for i in range(9000))
+    rows = pa.RecordBatch.from_pydict({"id": [0, 1, 2], "text": [text, text.replace("w4", "v4").replace("w5", "v5").replace("w6", "v6"), text.replace("w8999", "v")]})
+    (sets,) = jaccard._sets(5)([rows])
+    c, n = sets.column("counts").to_pylist(), [len(g) for g in sets.column("grams").to_pylist()]
+    near = {"a1": [0, 0], "a2": [0, 0], "b1": [1, 2], "b2": [0, 0], "x": [c[0], c[0]], "y": [c[1], c[2]], "nx": [n[0], n[0]], "ny": [n[1], n[2]]}
+    (out,) = jaccard._within_reach(4, 5)([pa.RecordBatch.from_pydict(near)])
+    assert out.column("b1").to_pylist() == [2]
+
+
+def test_blocks_are_small():
+    class frequent:
+        value = np.zeros(jaccard.TABLE, np.uint8)
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(10**6)) for _ in range(104)) for _ in range(1000)]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": texts})
+    (out,) = jaccard._blocks(5, 4, 5, 24, frequent)([rows])
+    size = sum(len(pa.compress(b"".join(out.column(i).to_pylist()), "lz4", asbytes=True)) for i in range(1, out.num_columns))
+    assert size < 10 * 21 * 1000  # 10 bytes an entry, 21 of each text
+
+
 def test_licenses(odd, docs):
     split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     for rows, df in zip(*both(odd, docs), strict=True):

@@ -6,11 +6,13 @@
    share one of those.
 3. Each block multiplies its piece of the incidence by its transpose, counting overlaps of pairs; summed over blocks,
    a pair whose count can't reach ceil(t/(1+t) (n_a + n_b)) any more is discarded.
-4. Of the remaining pairs, counts of members by part of the hashes bound the overlap; whole sets of those still in
-   reach are intersected exactly, first the most promising pair of each class, then pairs still in different components.
+   Blocks know a class by KEY bits of its signature and its size.
+4. Of the remaining pairs, counts of members by part of the hashes, more parts for larger sets, bound the overlap; whole
+   sets of those still in reach are intersected exactly, first the most promising pair of each class, then pairs still
+   in different components.
 A column shared by over `wide` classes is first linked along its members sorted by size and to its first member, then
-by a few pairs of each class that is still apart; what this leaves in different components is multiplied in full after
-that, so no link between components is lost, and few pairs of a large group of near copies are ever made.
+by a few pairs of each class that is still apart; columns of which some class has more pairs, and which this leaves in
+different components, are multiplied in full after that, so no link between components is lost, and few pairs of a large group of near copies are ever made.
 
 The first column that two linked sets share (in the order of 2.) has at least `least` - 1 more members behind it in
 both. Of a wide column, only pairs for which it can be that first one are made.
@@ -30,8 +32,10 @@ from .components import components
 
 #: Entries of the table of frequent hashes: 4 MB as broadcast, whatever the input.
 TABLE = 1 << 22
-#: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move.
-PARTS = 256
+#: Parts of the hashes by which members of a set are counted, to bound overlaps before whole sets move: for small and for very large sets.
+PARTS, MOST_PARTS = 256, 1 << 14
+#: Bits of a signature that blocks carry. Classes of one size that agree in them share their columns in a block, and what comes of it counts for both.
+KEY = (1 << 48) - 1
 #: Pairs that a class still apart first tries in a wide column, before all others.
 TRIES = 8
 #: Parts of a sketch, the same counts in short numbers, by which pairs of a wide column are bounded before they are made.
@@ -97,6 +101,28 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def tally(s: np.ndarray) -> bytes:
+    """How many members fall into each part of the hashes, 255 at most; a power of two of parts, so that two members share one on average or fewer."""
+    parts = min(MOST_PARTS, max(PARTS, 1 << max(0, len(s) // 2 - 1).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % parts, minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def overlaps(x: list[bytes], y: list[bytes], rows: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of tallies the largest overlap that they allow, by the fewer parts of both, and whether either has a count that was cut off."""
+    sizes = np.array([(len(v), len(w)) for v, w in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    most, full = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        here, few = np.flatnonzero((sizes == (p, q)).all(1)), min(p, q)
+        step = max(1, rows * PARTS // max(p, q))
+        for i in range(0, len(here), step):
+            at = here[i : i + step]
+            v, w = (np.frombuffer(b"".join(z[j] for j in at.tolist()), np.uint8).reshape(len(at), -1) for z in (x, y))
+            full[at] = (v == 255).any(1) | (w == 255).any(1)
+            v, w = (z.reshape(len(at), -1, few).sum(1, dtype=np.int64) for z in (v, w))
+            most[at] = np.minimum(v, w).sum(1)
+    return most, full
+
+
 def sketch(s: np.ndarray) -> bytes:
     n = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
     return np.minimum(n, FULL).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
@@ -156,7 +182,7 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
                 cols.append(s[:p])
                 who.append(np.full(p, len(classes), np.int32))
                 place.append(np.arange(p, dtype=np.int32))
-                classes.append((*g, n))
+                classes.append((g[0] & KEY, n))
             if len(seen) > SEEN:
                 seen.clear()
             if not classes:
@@ -165,19 +191,21 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
             block = (cols >> np.uint64(32)) % np.uint64(blocks)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
-            rows = {"block": [], "cols": [], "who": [], "place": [], "classes": []}
+            rows = {"block": [], **{c: [] for c in PIECE}}
             for j in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[j] : cuts[j + 1]]
-                mine, local = np.unique(who[o], return_inverse=True)
-                for name, x in (("block", j), ("cols", packed(cols[o])), ("who", planes(local)), ("place", planes(place[o])), ("classes", classes[mine].tobytes())):
+                mine, many = np.unique(who[o], return_counts=True)  # entries of a class lie together
+                for name, x in (("block", j), ("cols", packed(cols[o])), ("place", planes(place[o])), ("many", planes(many)), ("keys", packed(classes[mine, 0])), ("sizes", planes(classes[mine, 1]))):
                     rows[name].append(x)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("cols", "who", "place", "classes")]]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in PIECE]]))
 
     return run
 
 
-BLOCK = "block long, cols binary, who binary, place binary, classes binary"
-PRODUCT = "kind int, a1 long, a2 long, na long, b1 long, b2 long, nb long, shared long, col long, place long"
+#: Of entries, class by class: columns and places; of classes: how many entries, keys and sizes.
+PIECE = ("cols", "place", "many", "keys", "sizes")
+BLOCK = "block long, " + ", ".join(f"{c} binary" for c in PIECE)
+PRODUCT = "kind int, a long, na long, b long, nb long, shared long, col long, place long"
 
 
 def _product(num: int, den: int, wide: int):
@@ -189,15 +217,15 @@ def _product(num: int, den: int, wide: int):
     def run(table: pa.Table) -> pa.Table:
         cols, who, place, classes, at = [], [], [], [], 0
         for r in table.to_pylist():
-            c = np.frombuffer(r["classes"], np.int64).reshape(-1, 3)
+            c = np.column_stack([unpacked(r["keys"]).view(np.int64), unplanes(r["sizes"])])
             cols.append(unpacked(r["cols"]))
-            who.append(unplanes(r["who"]) + at)
+            who.append(np.repeat(np.arange(len(c)), unplanes(r["many"])) + at)
             place.append(unplanes(r["place"]))
             classes.append(c)
             at += len(c)
         cols, who, place, classes = (np.concatenate(x) for x in (cols, who, place, classes))
         classes, number = np.unique(classes, axis=0, return_inverse=True)
-        who, size = number.reshape(-1)[who], classes[:, 2]
+        who, size = number.reshape(-1)[who], classes[:, 1]
         order = np.lexsort((who, size[who], cols))
         cols, who, place = cols[order], who[order], place[order]
         keep = np.r_[True, (cols[1:] != cols[:-1]) | (who[1:] != who[:-1])] if len(cols) else np.zeros(0, bool)
@@ -237,15 +265,15 @@ def _product(num: int, den: int, wide: int):
             key, shared = np.unique(a * len(classes) + b, return_counts=True)
             ca, cb = classes[key // len(classes)], classes[key % len(classes)]
             n = len(key)
-            parts.append([np.full(n, kind), ca[:, 0], ca[:, 1], ca[:, 2], cb[:, 0], cb[:, 1], cb[:, 2], shared, np.zeros(n), np.zeros(n)])
+            parts.append([np.full(n, kind), ca[:, 0], ca[:, 1], cb[:, 0], cb[:, 1], shared, np.zeros(n), np.zeros(n)])
 
         parts: list = []
         distinct(narrow, 0)
         distinct(lists, 1)
         if big.any():
             c, z = classes[who[big]], np.zeros(int(big.sum()))
-            parts.append([z + 2, c[:, 0], c[:, 1], c[:, 2], z, z, z, z, cols[big].view(np.int64), place[big]])
-        parts = parts or [[np.zeros(0)] * 10]
+            parts.append([z + 2, c[:, 0], c[:, 1], z, z, z, cols[big].view(np.int64), place[big]])
+        parts = parts or [[np.zeros(0)] * 8]
         names = [x.split()[0] for x in PRODUCT.split(", ")]
         return pa.table({n: pa.array(np.concatenate([p[i].astype(np.int64) for p in parts]), pa.int32() if n == "kind" else pa.int64()) for i, n in enumerate(names)})
 
@@ -258,12 +286,13 @@ def _across(num: int, den: int, tries: int | None = None):
     Pairs that share a narrow column were judged before; the others overlap at most in wide columns, of which the first
     they share is this one or is multiplied elsewhere, and beyond the kept columns. `wide` counts the wide columns that
     a class has from this one on. Counts by part of the hashes bound an overlap by the sum of the smaller ones, as long
-    as none is FULL. With tries, only so many pairs of a class, those with the largest bounds."""
+    as none is FULL. With tries, only so many pairs of a class, those with the largest bounds, and a row with the column
+    if that left any out."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pandas().sort_values(["col", "na"], kind="stable")
-        found = []
-        for _, g in t.groupby("col", sort=False):
+        found, unended = [], []
+        for col, g in t.groupby("col", sort=False):
             comp = pd.factorize(g["label"])[0]
             if comp.max(initial=0) == 0:
                 continue
@@ -284,18 +313,21 @@ def _across(num: int, den: int, tries: int | None = None):
                 j, most = j[in_reach], most[in_reach]
                 if tries and len(j) > tries:
                     j = j[np.argpartition(-most / (n[j] + n[i]), tries)[:tries]]
+                    unended.append(col)
                 found.append(np.column_stack([np.tile(ids[i], (len(j), 1)), ids[j]]))
         x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
         x[swap] = x[swap][:, [2, 3, 0, 1]]
         x = np.unique(x, axis=0)
-        return pa.table({c: pa.array(x[:, i], pa.int64()) for i, c in enumerate(("a1", "a2", "b1", "b2"))})
+        unended = sorted(set(unended))
+        made = {c: pa.array([*x[:, i].tolist(), *[None] * len(unended)], pa.int64()) for i, c in enumerate(("a1", "a2", "b1", "b2"))}
+        return pa.table(made | {"unended": pa.array([*[None] * len(x), *unended], pa.int64())})
 
     return run
 
 
 def _sets(k: int):
-    """Whole sets, and how many of their members fall into each of PARTS parts of the hashes."""
+    """Whole sets, and how many of their members fall into each part of the hashes."""
 
     def run(batches):
         seen = set()
@@ -306,7 +338,7 @@ def _sets(k: int):
             if len(seen) > SEEN:
                 seen.clear()
             sets = [s for _, s in found]
-            counts = [planes(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS)) for s in sets]
+            counts = [tally(s) for s in sets]
             arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g, _ in found], pa.int64()), pa.array([g[1] for g, _ in found], pa.int64()), pa.array(counts, pa.binary()), arrays], names=["c1", "c2", "counts", "grams"])
 
@@ -314,14 +346,14 @@ def _sets(k: int):
 
 
 def _within_reach(num: int, den: int):
-    """Pairs a1, a2, b1, b2 whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts, `most`."""
+    """Pairs a1, a2, b1, b2 of sizes nx, ny whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts, `most`."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.array([unplanes(v) for v in b.column(c).to_pylist()], np.int64).reshape(-1, PARTS) for c in ("x", "y"))
-            most, sizes = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            most, full = overlaps(b.column("x").to_pylist(), b.column("y").to_pylist())
+            sizes = b.column("nx").to_numpy() + b.column("ny").to_numpy()
             arrays = [*(b.column(c) for c in ("a1", "a2", "b1", "b2")), pa.array(most / np.maximum(sizes, 1), pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["a1", "a2", "b1", "b2", "most"]).filter(pa.array((num + den) * most >= num * sizes))
+            yield pa.RecordBatch.from_arrays(arrays, names=["a1", "a2", "b1", "b2", "most"]).filter(pa.array(full | ((num + den) * most >= num * sizes)))
 
     return run
 
@@ -350,25 +382,34 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = max(8, -(-int(entries) // block_entries))
     product = cut(rows.mapInArrow(tidy(_blocks(k, num, den, blocks, frequent)), BLOCK).groupBy("block").applyInArrow(_product(num, den, wide), PRODUCT), "product")
 
+    def keyed(x: str) -> DataFrame:
+        return classes.select(F.col("c1").bitwiseAND(F.lit(KEY)).alias(x), F.col("n").alias(f"n{x}"), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"))
+
     pair = ["a1", "a2", "b1", "b2"]
-    onward = Window.partitionBy("a1", "a2").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    entries = cut(product.where("kind = 2").select("col", "a1", "a2", "na", "place", F.count("*").over(onward).alias("wide")), "entries")
-    spread = entries.groupBy("a1", "a2").agg(F.max("wide").alias("wide"))
-    in_a, in_b = spread.select("a1", "a2", F.col("wide").alias("wide_a")), spread.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("wide").alias("wide_b"))
+    onward = Window.partitionBy("a", "na").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    entries = product.where("kind = 2").select("col", "a", "na", "place", F.count("*").over(onward).alias("wide"))
+    entries = cut(entries.join(keyed("a"), ["a", "na"]), "entries")
+    spread = entries.groupBy("a", "na").agg(F.max("wide").alias("wide"))
+    in_a, in_b = spread.withColumnRenamed("wide", "wide_a"), spread.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("wide").alias("wide_b"))
     # overlaps in narrow columns are counted in full; those in wide ones are at most the entries that either set has there
-    counted = product.where("kind < 2").groupBy(*pair, "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
+    counted = product.where("kind < 2").groupBy("a", "na", "b", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("shared")).otherwise(0)).alias("shared"))
     least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
     wide_both = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-    counted = counted.join(in_a, ["a1", "a2"], "left").join(in_b, ["b1", "b2"], "left")
-    pairs = cut(counted.where(F.col("shared") + wide_both + rest >= least).select(*pair), "pairs")
+    counted = counted.join(in_a, ["a", "na"], "left").join(in_b, ["b", "nb"], "left")
+    kept = counted.where(F.col("shared") + wide_both + rest >= least).select("a", "na", "b", "nb")
+    kept = kept.join(keyed("a"), ["a", "na"]).join(keyed("b"), ["b", "nb"])
+    ends = [F.struct(F.col(f"{x}1").alias("x"), F.col(f"{x}2").alias("y")) for x in "ab"]
+    kept = kept.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    pairs = cut(kept.select(F.col("a.x").alias("a1"), F.col("a.y").alias("a2"), F.col("b.x").alias("b1"), F.col("b.y").alias("b2")), "pairs")
     forget(product)
 
     def name(a: str, b: str):
         return F.concat(F.hex(a), F.lit("."), F.hex(b))
 
     def sides(what: str, of: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return of.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col(what).alias("x")), of.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col(what).alias("y"))
+        size = F.size("grams").cast("long")
+        return tuple(of.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col(what).alias(y), size.alias(f"n{y}")) for x, y in ("ax", "by"))
 
     def members(pairs: DataFrame) -> DataFrame:
         return cut(pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("b1", "b2")).distinct(), "members")
@@ -376,8 +417,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def linked(near: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after linking those of the pairs whose whole sets are similar enough."""
         few = near.count() <= broadcast_ids
-        a, b = (near.select(F.col(f"{x}1").alias("c1"), F.col(f"{x}2").alias("c2")).distinct() for x in "ab")
-        a, b = (sides("grams", sets.join(F.broadcast(own) if few else own, ["c1", "c2"], "left_semi"))[i] for i, own in enumerate((a, b)))
+        of_b = near.select(F.col("b1").alias("c1"), F.col("b2").alias("c2")).distinct()
+        a, b = sides("grams", sets)[0], sides("grams", sets.join(F.broadcast(of_b) if few else of_b, ["c1", "c2"], "left_semi"))[1]
+        near = F.broadcast(near) if few else near  # then whole sets move but to the other side of their pairs
         # both >= num/den of the union, as (num + den) * both >= num * (sizes)
         ok = (num + den) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))
         # rows that repeat an id bring a set twice, and then a link
@@ -396,7 +438,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = cut(some.mapInArrow(tidy(_sets(k)), "c1 long, c2 long, counts binary, grams array<long>"), "grams")
 
         a, b = sides("counts", sets)
-        near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(*pair, "x", "y")
+        near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(*pair, "x", "y", "nx", "ny")
         near = cut(near.mapInArrow(tidy(_within_reach(num, den)), "a1 long, a2 long, b1 long, b2 long, most double"), "near")
         each = near.withColumn("node", F.explode(F.array(name("a1", "a2"), name("b1", "b2"))))
         best = each.groupBy("node").agg(F.max(F.struct("most", *pair)).alias("best")).select("best.*").select(*pair).distinct()
@@ -416,18 +458,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = grown(pairs, None)
     if not entries.isEmpty():
         mine = entries.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).distinct()
+        mine = F.broadcast(mine) if mine.count() <= broadcast_ids else mine
         sketches = told.select("c1", "c2", "sketch").join(mine, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"])
         sketches = cut(sketches.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), "sketch"), "sketches")
+    unended = None
     for tries in (TRIES, None):
-        if entries.isEmpty():
+        if (entries if unended is None else unended).isEmpty():
             break
-        held = entries.withColumn("node", name("a1", "a2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = entries if unended is None else entries.join(unended, "col", "left_semi")
+        held = held.withColumn("node", name("a1", "a2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         held = cut(held, "wide")
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
         held = held.join(sketches, ["a1", "a2"])
-        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label", "sketch").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long").distinct()
-        more = cut(more.join(pairs, pair, "left_anti"), "pairs")
+        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label", "sketch").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long, unended long")
+        more = cut(more, "across")
+        unended = more.where("unended is not null").select(F.col("unended").alias("col"))
+        more = cut(more.where("unended is null").select(*pair).distinct().join(pairs, pair, "left_anti"), "pairs")
         if not more.isEmpty():
             labels, pairs = grown(more, labels), pairs.unionByName(more)
 
