@@ -68,6 +68,25 @@ def _some_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def few(batches, rows: int = 2000):
+    """The batches in pieces of so many rows, as sets and counts take several times the memory of their rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def light(run):
+    """run, a function of a group's table, with the memory that its worker no longer needs given back."""
+
+    def whole(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return whole
+
+
 def signature(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         both = mix(s ^ PLACE[50]).sum(), (mix(s + PLACE[51]) * PLACE[52]).sum()
@@ -136,7 +155,7 @@ def _describe(k: int):
     def run(batches):
         counts, seen = np.zeros(TABLE, np.uint32), set()
         total = 0
-        for b in batches:
+        for b in few(batches):
             sets = shingle_sets(b.column(1), k)
             signs = [signature(s) for s in sets]
             fresh = []
@@ -169,7 +188,7 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
         table, seen = frequent.value, set()
         for b in batches:
             cols, who, place, classes = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
+            for s in (s for i in range(0, b.num_rows, 500) for s in _some_sets(b.column(1)[i : i + 500], k)):
                 g = signature(s)
                 n = len(s)
                 if not n or g in seen:
@@ -179,7 +198,7 @@ def _blocks(k: int, num: int, den: int, blocks: int, frequent):
                 if rare.any():
                     s = s[np.argsort(rare, kind="stable")]
                 p = n - _needed(num, den, n) + 1
-                cols.append(s[:p])
+                cols.append(s[:p].copy())
                 who.append(np.full(p, len(classes), np.int32))
                 place.append(np.arange(p, dtype=np.int32))
                 classes.append((g[0] & KEY, n))
@@ -331,7 +350,7 @@ def _sets(k: int):
 
     def run(batches):
         seen = set()
-        for b in batches:
+        for b in few(batches):
             found = [(signature(s), s) for s in shingle_sets(b.column(1), k)]
             found = [found[i] for i in {g: i for i, (g, _) in enumerate(found) if g not in seen}.values()]
             seen.update(g for g, _ in found)
@@ -349,7 +368,7 @@ def _within_reach(num: int, den: int):
     """Pairs a1, a2, b1, b2 of sizes nx, ny whose counts by part, x and y, allow the overlap: it is at most the sum of the smaller counts, `most`."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             most, full = overlaps(b.column("x").to_pylist(), b.column("y").to_pylist())
             sizes = b.column("nx").to_numpy() + b.column("ny").to_numpy()
             arrays = [*(b.column(c) for c in ("a1", "a2", "b1", "b2")), pa.array(most / np.maximum(sizes, 1), pa.float64())]
@@ -380,7 +399,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(own.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("nameless")), "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     blocks = max(8, -(-int(entries) // block_entries))
-    product = cut(rows.mapInArrow(tidy(_blocks(k, num, den, blocks, frequent)), BLOCK).groupBy("block").applyInArrow(_product(num, den, wide), PRODUCT), "product")
+    product = cut(rows.mapInArrow(tidy(_blocks(k, num, den, blocks, frequent)), BLOCK).groupBy("block").applyInArrow(light(_product(num, den, wide)), PRODUCT), "product")
 
     def keyed(x: str) -> DataFrame:
         return classes.select(F.col("c1").bitwiseAND(F.lit(KEY)).alias(x), F.col("n").alias(f"n{x}"), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"))
@@ -471,7 +490,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         split = held.groupBy("col").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("col")
         held = held.join(split, "col", "left_semi").withColumn("part", F.pmod(F.col("col"), F.lit(blocks * 8)))
         held = held.join(sketches, ["a1", "a2"])
-        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label", "sketch").groupBy("part").applyInArrow(_across(num, den, tries), "a1 long, a2 long, b1 long, b2 long, unended long")
+        more = held.select("part", "col", "a1", "a2", "na", "place", "wide", "label", "sketch").groupBy("part").applyInArrow(light(_across(num, den, tries)), "a1 long, a2 long, b1 long, b2 long, unended long")
         more = cut(more, "across")
         unended = more.where("unended is not null").select(F.col("unended").alias("col"))
         more = cut(more.where("unended is null").select(*pair).distinct().join(pairs, pair, "left_anti"), "pairs")
